@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, mixing, packing, simhash_dedup
+from docloom.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
 from docloom.llm.common import table
 
 
@@ -34,8 +34,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op7_source_mix, op8_simhash_dedup, op9_packing)}
+    return {f.__name__: f for f in (op2_line_dedup, op7_source_mix, op8_simhash_dedup, op9_packing, op10_toxicity)}
 
 
 LINE_DEDUP_SQL = r"""
