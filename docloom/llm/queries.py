@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
+from docloom.llm import line_dedup, mixing, packing, quality_rules, simhash_dedup, token_counts, toxicity
 from docloom.llm.common import table
 
 
@@ -21,6 +21,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op7_source_mix, op8_simhash_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_token_counts, op4_quality_rules, op7_source_mix, op8_simhash_dedup, op9_packing, op10_toxicity)}
 
 
 LINE_DEDUP_SQL = r"""
