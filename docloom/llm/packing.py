@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from docloom.llm.common import rows, tasks
 
 WINDOW, END = 1024, 0
-#: Remainders packed together; also bounds what a task holds.
-GROUP = 2048
-#: Distinct stretches of text whose ids a task remembers, and their longest length.
-MEMO, MEMO_CHARS = 400_000, 64
+#: Pieces packed together; also bounds what a task holds.
+GROUP = 1024
+#: What is left over of a document is cut into pieces of this size, so that windows come out near equal.
+PART = 256
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -59,50 +59,61 @@ def pack(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
         k += 1
 
 
+def byte_level_ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings and ids of a tokenizer file, if it is byte-level BPE whose ids follow the order of its merges."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"]:
+        return None
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+    ids = model["vocab"]
+    merged = [ids["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+    if merged != sorted(merged) or len(merged) + 256 != len(ids):
+        return None
+    return {bytes(of[c] for c in piece): i for piece, i in ids.items()}
+
+
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, by a tokenizer file of the tokenizers library.
+    """Ids of texts as little-endian unsigned 32-bit bytes, by a file of the tokenizers library.
 
-    Text is cut at single spaces between other characters, where byte-level BPE never joins, and ids of stretches that
-    recur are remembered; the memory is emptied when it is full.
+    A byte-level BPE file is run by tiktoken on the ranks read from it, which gives the same ids in a fraction of the
+    time; texts with very long runs of white space, which its splitter can't take, and files of other kinds go to the
+    tokenizers library itself. Strings of special tokens in a text are ordinary text.
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-    ODD = re.compile(r"\s\s|^\s|\s$")
+    #: The splitting pattern of this kind of tokenizer.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    RUN = re.compile(r"\s{2000}")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.quick = None
+        if ranks := byte_level_ranks(path):
+            import tiktoken
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
+            self.quick = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-        parts[1:] = [" " + x for x in parts[1:]]
-        memo = self.memo
-        new = [x for x in dict.fromkeys(parts) if x not in memo]
-        if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(parts))
-            known = dict(zip(new, self.ids(new), strict=True))
-            memo.update((x, v) for x, v in known.items() if len(x) <= MEMO_CHARS)
-            return b"".join([memo[x] if x in memo else known[x] for x in parts])
-        return b"".join([memo[x] for x in parts])
+        if self.quick and not self.RUN.search(text):
+            ids = self.quick.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """Whole windows of each document and its remainder: doc_id, start, length, ids_crc32, doc_tokens."""
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, part_size: int = PART) -> DataFrame:
+    """Whole windows of each document, and its remainder in pieces of at most `part_size`: doc_id, start, length, ids_crc32, doc_tokens."""
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +126,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
             for doc_id, text in rows(b, "doc_id", "text"):
                 ids = memoryview(encode(text or "") + last)
                 n = len(ids) // 4
-                for a in range(0, n, window):
-                    part = ids[4 * a : 4 * (a + window)]
+                full = n - n % window
+                for a in [*range(0, full, window), *range(full, n, part_size)]:
+                    part = ids[4 * a : 4 * min(n, a + (window if a < full else part_size))]
                     for c, x in zip(out, (doc_id, a, len(part) // 4, zlib.crc32(part), n), strict=True):
                         c.append(x)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -128,7 +140,7 @@ def place(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame
     """cut (PIECE rows) with sequence_id and offset.
 
     Pieces are dealt by a hash over the whole row to a fixed number of partitions and sorted, so a rerun of a lost
-    task numbers alike. A whole window is a sequence of its own; remainders are packed `group` at a time. A task
+    task numbers alike. A whole window is a sequence of its own; the rest are packed `group` at a time. A task
     holds one group. Sequence numbers carry the partition above 40 bits.
     """
 
@@ -172,11 +184,12 @@ def place(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame
     return cut.repartition(n, F.xxhash64(*columns)).sortWithinPartitions(*columns).mapInArrow(run, PLACED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = END, part_size: int = PART, group: int = GROUP) -> DataFrame:
     """Pieces of docs (doc_id, text; more are ignored) in sequences of at most `window` tokens.
 
-    A document's tokens are its ids, then `end`. It is cut at every `window` tokens; what is left over is packed. Null
+    A document's tokens are its ids, then `end`. It is cut at every `window` tokens; what is left over is cut at every
+    `part_size` and packed. Null
     or empty text: `end` alone. Repeated rows and null ids: packed like any other row. No rows: no pieces. Returns
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; only these numbers are shuffled, never texts.
     """
-    return place(pieces(docs, tokenizer, window, end), window, group)
+    return place(pieces(docs, tokenizer, window, end, part_size), window, group)
