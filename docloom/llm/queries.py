@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, mixing, packing, quality_rules, simhash_dedup, token_counts, toxicity
+from docloom.llm import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_dedup, token_counts, topk_search, toxicity
 from docloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(*(table(spark, sf_dir, t) for t in ("documents", "labels", "pages")))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_token_counts, op4_quality_rules, op7_source_mix, op8_simhash_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_token_counts, op4_quality_rules, op6_quality_classifier, op7_source_mix, op8_simhash_dedup, op9_packing, op10_toxicity)}
 
 
 LINE_DEDUP_SQL = r"""
@@ -106,5 +114,20 @@ FROM taken t JOIN best b ON t.source IS NOT DISTINCT FROM b.source AND t.seed =
 """
 
 
+TOPK_SQL = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op7_source_mix": SOURCE_MIX_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op7_source_mix": SOURCE_MIX_SQL}
