@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_dedup, token_counts, topk_search, toxicity
+from docloom.llm import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts, topk_search, toxicity
 from docloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(*(table(spark, sf_dir, t) for t in ("documents", "labels", "pages")))
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_token_counts, op4_quality_rules, op6_quality_classifier, op7_source_mix, op8_simhash_dedup, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_quality_classifier, op7_source_mix, op8_simhash_dedup, op9_packing, op10_toxicity)}
 
 
 LINE_DEDUP_SQL = r"""
