@@ -1 +1 @@
-
+"""Column builders: they return expressions, so plans stay inside the JVM."""

@@ -1 +1,32 @@
+"""Queries over the given tables, each with the SQL it must agree with."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Catalogue:
+    """Named queries; add() registers one with its SQL, or with None where SQL can't express it."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Query] = {}
+        self.sql: dict[str, str] = {}
+
+    def add(self, sql: str | None = None) -> Callable[[Callable], Callable]:
+        def put(f: Callable) -> Callable:
+            self.queries[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            if sql:
+                self.sql[f.__name__] = sql
+            return f
+
+        return put
+
+
+def catalogues() -> list[Catalogue]:
+    from docloom.plans import evaluation, graphs, ingestion, reading, rules, searching
+
+    return [reading.C, searching.C, graphs.C, evaluation.C, rules.C, ingestion.C]
