@@ -10,7 +10,7 @@ from docloom.llm.common import WORD, Scratch
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Hash seeds tried for each source; the one whose draw lands nearest the target is used.
-SEEDS = 16
+SEEDS = 64
 
 
 def size_of(text: Column) -> Column:

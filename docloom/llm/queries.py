@@ -105,7 +105,7 @@ WITH sized AS (
     coalesce(t.target / CASE WHEN t.source_size > 0 THEN CAST(t.source_size AS DOUBLE) END, 0.0) AS rate
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.of_source
 ), drawn AS (
-  SELECT *, unnest(range(16)) AS seed FROM rated
+  SELECT *, unnest(range(64)) AS seed FROM rated
 ), taken AS (
   SELECT *, size * CAST(floor(rate) + CASE WHEN CAST(CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(seed // 8 AS VARCHAR)), CAST(8 * (seed % 8) + 1 AS BIGINT), 8) AS BIGINT) AS DOUBLE)
     < (rate - floor(rate)) * 4294967296.0 THEN 1 ELSE 0 END AS BIGINT) AS taken FROM drawn

@@ -20,8 +20,8 @@ TERM = re.compile(r"\w+")
 BUCKETS, PREFIXES, KEPT = 1 << 20, (4, 5, 6), 4096
 #: Labelled documents used at most, in the order of a hash of their ids: bounds what fitting costs and collects.
 MOST_LABELLED = 20_000
-#: Chi-square with one degree of freedom at p = 0.001; terms below it aren't kept.
-EVIDENT = 10.83
+#: Least chi-square of a kept term, and least number of labelled documents that have it.
+EVIDENT, LEAST_DOCS = 30.0, 4
 MEMO = 1_000_000
 
 
@@ -54,8 +54,12 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int = 8, rounds: int = 30, rate: float = 0.1, batch: int = 256, shrink: float = 1e-4, seed: int = 5) -> Machine:
-    """Logistic loss, minibatch AdaGrad. docs: positions in kept of each document's terms; y: 0 or 1. Deterministic."""
+def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int = 8, rounds: int = 30, rate: float = 0.1, batch: int = 256, shrink: float = 1e-4, hide: float = 0.3, seed: int = 5) -> Machine:
+    """Logistic loss, minibatch AdaGrad. docs: positions in kept of each document's terms; y: 0 or 1. Deterministic.
+
+    Every other round hides a share of each document's terms, so that one telling term suffices where training texts
+    have many.
+    """
     rng = np.random.default_rng(seed)
     k, n = len(kept), len(docs)
     share = min(max(float(y.mean()) if n else 0.0, 1e-3), 1 - 1e-3)
@@ -64,12 +68,15 @@ def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int =
         return Machine(kept, bias if n else -4.0, w, np.zeros((k, rank)))
     gb, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, rank), 1e-8)
     lengths = np.array([len(d) for d in docs])
-    for _ in range(rounds):
+    for turn in range(rounds):
         order = rng.permutation(n)
         for a in range(0, n, batch):
             part = order[a : a + batch]
             cols = np.concatenate([docs[i] for i in part])
             row = np.repeat(np.arange(len(part)), lengths[part])
+            if turn % 2:
+                seen = rng.random(len(cols)) >= hide
+                cols, row = cols[seen], row[seen]
             sums = np.stack([np.bincount(row, v[cols, f], len(part)) for f in range(rank)], axis=1)
             squares = np.bincount(row, (v[cols] ** 2).sum(axis=1), len(part))
             z = bias + np.bincount(row, w[cols], len(part)) + 0.5 * ((sums**2).sum(axis=1) - squares)
@@ -132,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
     n = float(n1 + n0)
     odd = F.col("a") * n0 - F.col("b") * n1
     chi = n * odd * odd / (F.lit(float(n1) * n0) * (F.col("a") + F.col("b")) * (F.lit(n) - F.col("a") - F.col("b")))
-    best = sums.where(F.col("a") + F.col("b") < n).where(chi > EVIDENT).orderBy(chi.desc(), "term").limit(kept) if n1 and n0 else sums.where("false")
+    best = sums.where((F.col("a") + F.col("b") < n) & (F.col("a") + F.col("b") >= LEAST_DOCS)).where(chi > EVIDENT).orderBy(chi.desc(), "term").limit(kept) if n1 and n0 else sums.where("false")
     terms = np.array(sorted(r.term for r in best.select("term").collect()), dtype=np.int64)
     place = {int(t): i for i, t in enumerate(terms)}
 

@@ -1,0 +1,323 @@
+"""Token counts, quality, toxicity, search, mixing and packing."""
+
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from docloom.llm import mixing, packing, quality_classifier, quality_rules, token_counts, topk_search, toxicity
+from docloom.llm.queries import tokenizer_file
+
+RANKS, BPE = tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("byte_bpe_50k.json")
+
+
+def rows_of(df, *names):
+    return [tuple(r[n] for n in names) for r in df.collect()]
+
+
+# token counts
+
+
+def test_trie_against_unigram_library():
+    """The same vocabulary and scores in the tokenizers library's Unigram model."""
+    from tokenizers import Tokenizer, models
+
+    pieces = token_counts.pieces_of(RANKS)
+    latin = lambda b: b.decode("latin-1")
+    model = Tokenizer(models.Unigram([("\u0100", -100.0), *((latin(p), s) for p, s in pieces.items())], unk_id=0))
+    trie = token_counts.Trie(pieces)
+    words = [b" the", b" transformation", b"antidisestablishmentarianism", "naïve".encode(), b" the", b"thee", b"!!!???", b"\n\n", b"x" * 300]
+    for w in words:
+        ids = model.encode(latin(w), add_special_tokens=False).ids
+        score = sum(pieces[latin_bytes] for latin_bytes in (model.id_to_token(i).encode("latin-1") for i in ids))
+        best = forward(w, pieces)
+        assert abs(score - best[0]) < 1e-6 and trie.tokens(w) == best[1]
+
+
+def forward(word, pieces):
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        best.append(max(((best[j][0] + pieces[word[j:end]], -best[j][1] - 1) for j in range(end) if word[j:end] in pieces), key=lambda x: x))
+        best[-1] = (best[-1][0], -best[-1][1])
+    return best[-1]
+
+
+def test_trie_shares_and_forgets(monkeypatch):
+    pieces = token_counts.pieces_of(RANKS)
+    trie = token_counts.Trie(pieces)
+    trie.tokens(b" shared"), trie.tokens(b" shares")
+    assert len(trie.best) == 1 + len(b" shared") + 1
+    monkeypatch.setattr(token_counts, "MOST_NODES", 5)
+    assert trie.tokens(b" another") == forward(b" another", pieces)[1]
+
+
+def test_token_counts_odd(odd, none):
+    got = {(r.doc_id, r.n_bytes): r for r in token_counts.token_counts(odd, RANKS).collect()}
+    assert got[(3, 0)].n_tokens == 0 and got[(4, 0)].n_pretokens == 0
+    pieces = token_counts.pieces_of(RANKS)
+    for i, t in rows_of(odd, "doc_id", "text"):
+        raw = (t or "").encode()
+        words = token_counts.PRE.findall(raw)
+        assert b"".join(words) == raw
+        if len(raw) < 5000:
+            assert got[(i, len(raw))].n_tokens == sum(forward(w, pieces)[1] for w in words)
+    assert token_counts.token_counts(none, RANKS).count() == 0
+
+
+# quality rules
+
+
+def brute_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = {}
+    for i in range(len(words) - 2):
+        grams.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + j for at in grams.values() if len(at) > 1 for i in at for j in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        dup += line in seen and bool(re.search(r"[^\x20\x09-\x0D]", line))
+        seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def test_quality_base(odd, labels, none):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = sorted(rows_of(quality_rules.quality(odd, labels), "doc_id", *names), key=str)
+    assert got == sorted(((i, *brute_base(t)) for i, t in rows_of(odd, "doc_id", "text")), key=str)
+    assert quality_rules.quality(none, labels).count() == 0
+    assert quality_rules.quality(odd, labels.limit(0)).where("kept and base_failed").count() == 0
+
+
+def test_quality_ratio_by_hand(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"good{j % 60}" for j in range(i, i + 70))) for i in range(30)] + [(i, " ".join(f"BAD{j % 60}##" for j in range(i, i + 70))) for i in range(30, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 30, 2)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.quality(docs, labels).collect()}
+    assert all(got[i].ratio > 0 for i in range(30)) and all(got[i].ratio < -1 for i in range(30, 60))
+    assert all(got[i].kept for i in range(30) if not got[i].base_failed) and not any(got[i].kept for i in range(30, 60))
+
+
+def test_quality_on_labels(spark, sf):
+    base = sf.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.quality(docs, labels).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1
+
+
+# quality classifier
+
+
+def test_classifier_on_labels(spark, sf):
+    base = sf.replace("0.001", "0.01")
+    docs, labels, pages = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels", "pages"))
+    half = labels.where("doc_id % 2 = 0")
+    got = quality_classifier.classify(docs, half, pages)
+    assert got.count() == docs.count() and got.where("host is not null").count() > 100
+    held = got.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad = [r.kept for r in held if r.quality == 1], [r.kept for r in held if r.quality == 0]
+    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.2
+
+
+def test_classifier_shrinks_sparse_sites(spark):
+    docs = spark.createDataFrame([(i, "words of a text " * 20 if i % 7 else "## $$ %% " * 30) for i in range(200)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(100)], "doc_id long, quality int")
+    pages = spark.createDataFrame([(i, f"https://{'poor' if i % 7 == 0 else 'fine' if i % 2 else f'one{i}'}.org/en/{i}", "") for i in range(200)] + [(999, "no url", ""), (1000, None, None)], "page_id long, url string, html string")
+    got = quality_classifier.classify(docs, labels, pages).collect()
+    rate = {r.host: r.path_rate for r in got}
+    mean = [r.path_rate for r in got if r.host is None][0]
+    single = next(r for r in got if r.host and r.host.startswith("one"))
+    assert rate["poor.org"] < single.path_rate < rate["fine.org"] or abs(single.path_rate - mean) < 0.2
+    assert rate["poor.org"] < mean < rate["fine.org"]
+
+
+def test_classifier_odd(odd, none, labels, spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert quality_classifier.classify(odd, labels, pages).count() == odd.count()
+    assert quality_classifier.classify(none, labels, pages).count() == 0
+    assert quality_classifier.classify(odd, labels.limit(0), pages).where("not kept").count() == 0
+
+
+# toxicity
+
+
+def test_toxicity_held_out(spark, sf):
+    base = sf.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    some = labels.select("doc_id", "toxic")
+    got = toxicity.toxicity(docs.join(some.select("doc_id"), "doc_id"), some).join(some, "doc_id").where("held_out").collect()
+    hit = [r.predicted for r in got if r.toxic == 1]
+    false = [r.predicted for r in got if r.toxic == 0]
+    assert sum(hit) / len(hit) > 0.9 and sum(false) / len(false) < 0.01
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_machine_learns_a_pair():
+    """Two terms that are toxic together only: no additive model tells them apart."""
+    rng = np.random.default_rng(0)
+    docs, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        docs.append(np.array([i for i, on in enumerate((a, b)) if on] + [2 + int(rng.integers(8))], dtype=np.int64))
+        y.append(float(a != b))
+    m = toxicity.fit(np.arange(10), docs, np.array(y), rounds=60, rate=0.3, seed=1)
+    right = np.mean([(m.margin(d) > 0) == t for d, t in zip(docs, y, strict=True)])
+    assert right > 0.95
+
+
+def test_margin_by_hand():
+    m = toxicity.Machine(np.arange(3), 0.5, np.array([1.0, -2.0, 0.25]), np.array([[1.0, 0], [2.0, 1.0], [0, 3.0]]))
+    assert m.margin(np.array([0, 1, 2])) == pytest.approx(0.5 - 0.75 + 2.0 + 0.0 + 3.0)
+
+
+def test_toxicity_odd(odd, none, labels):
+    got = toxicity.toxicity(odd, labels)
+    assert got.count() == odd.count() and got.where("score < 0 or score > 1 or score is null").count() == 0
+    assert toxicity.toxicity(none, labels).count() == 0
+    assert toxicity.toxicity(odd, labels.limit(0)).where("predicted = 1").count() == 0
+    out = toxicity.drop_toxic(odd, labels.limit(0))
+    assert out.columns == odd.columns and out.count() == odd.count()
+
+
+# search
+
+
+def brute_search(vectors, k=10):
+    ok = {(i, tuple(np.floor(np.array(v, dtype=float) * 1024).astype(int))) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
+    for q, x in ok:
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in ok if i != q)
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+def search_rows(df):
+    return sorted(rows_of(df, "query_id", "rank", "vec_id", "score"))
+
+
+@pytest.mark.parametrize("block", [4096, 37])
+def test_search_brute(spark, block):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    v = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(400)]
+    v += [(i, v[5][1]) for i in range(400, 460)] + [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (None, v[0][1]), v[3], (600, [0.0] * 8), (700, v[7][1][:5])]
+    df = spark.createDataFrame([(*x, 1, 2) for x in v], "vec_id long, embedding array<float>, block int, x int")
+    got = topk_search.search(df, F.col("vec_id") % 100 == 0, block=block, query_block=3)
+    assert search_rows(got) == brute_search(v)
+
+
+def test_search_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, [0.5]), (1, [0.5]), (2, [-0.5])], "vec_id long, embedding array<float>")
+    assert search_rows(topk_search.search(df, F.col("vec_id") == 0)) == [(0, 1, 1, 512 * 512), (0, 2, 2, -512 * 512)]
+    assert topk_search.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_block_index_stops_early():
+    """A clear winner is proven before every segment is processed."""
+    rng = np.random.default_rng(0)
+    x = rng.integers(-50, 50, (3000, 16))
+    x[7] = 1000
+    index = topk_search.BlockIndex(x)
+    assert index.top(np.full(16, 900), 1, np.array([], dtype=np.int64), np.arange(3000))[0][1] == 7
+
+
+# mixing
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in capped)
+        free = [s for s in sizes if s not in capped]
+        share = {s: weight[s] * rest / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if share[s] >= 3 * sizes[s]]
+        if not over:
+            return share | {s: 3 * sizes[s] for s in capped}
+        capped |= set(over)
+
+
+def test_mixing(odd, none, spark):
+    got = mixing.copies(odd).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = brute_targets(sizes)
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 3 * r.size
+    assert sorted(map(str, mixing.copies(odd).collect())) == sorted(map(str, got))
+    assert mixing.copies(none).count() == 0 and mixing.mix(none).count() == 0
+    out = mixing.mix(odd)
+    assert out.columns == odd.columns and out.count() == sum(r.copies for r in got)
+
+
+def test_mixing_comes_near(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i * 7919 % 200), f"s{i % 5}") for i in range(4000)], "doc_id long, text string, source string")
+    got = mixing.copies(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) < 0.01 * r["max(target)"]
+
+
+# packing
+
+
+def test_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    encode = packing.Encoder(BPE)
+    assert encode.quick
+    for x in ["", "Hello  world\n\n a", "café \U0001f600 你好", " " * 5000 + "x", "<|endoftext|> it's", "a b\x1c\x85 c", "\t\n x  y   z "]:
+        assert list(np.frombuffer(encode(x), dtype="<u4")) == t.encode(x, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(odd, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    want = {}
+    for i, x in rows_of(odd, "doc_id", "text"):
+        want.setdefault(i, []).append([*t.encode(x or "", add_special_tokens=False).ids, 0])
+    got = packing.pack_documents(odd, BPE).collect()
+    by_doc, by_seq = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert by_doc.keys() == want.keys()
+    for i, lists in want.items():
+        copies = len(lists)
+        pieces = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in by_doc[i])
+        at = 0
+        for start, length, crc, total in pieces[::copies]:
+            assert start == at and total == len(lists[0])
+            assert crc == zlib.crc32(np.array(lists[0][start : start + length], dtype="<u4").tobytes())
+            at += length
+        assert at == len(lists[0]) and len(pieces) % copies == 0
+    for rows in by_seq.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert packing.pack_documents(none, BPE).count() == 0
+
+
+def test_differencing():
+    rng = np.random.default_rng(1)
+    for n, k in ((5, 1), (5, 3), (3, 5), (200, 20)):
+        sizes = rng.integers(1, 257, n).tolist()
+        parts = packing.difference(sizes, k)
+        assert sorted(i for p in parts for i in p) == list(range(n)) and len([p for p in parts if p]) <= k
+        if n == 200:
+            sums = [sum(sizes[i] for i in p) for p in parts]
+            assert max(sums) - min(sums) <= 8
+    parts = packing.pack(rng.integers(1, 257, 800).tolist())
+    assert packing.pack([]) == [[]] and len(parts) > 0
