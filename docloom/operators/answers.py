@@ -108,13 +108,13 @@ def tag_scores(body: Column) -> Column:
     names what the vocabulary lacks; a label may hold colons; without a confidence it is low."""
 
     def one(item: Column) -> Column:
-        p = F.transform(F.split(item, ":"), F.btrim)
+        p = F.transform(F.split(item, ":"), lambda x: F.btrim(x))
         other = F.upper(F.get(p, F.lit(0))) == "OTHER"
         name = F.when(other, "OTHER").when(F.size(p) == 1, F.get(p, F.lit(0))).otherwise(F.array_join(F.slice(p, F.lit(1), F.size(p) - 1), ":"))
         conf = F.when(other, F.coalesce(F.get(p, F.lit(1)), F.lit("low"))).when(F.size(p) == 1, "low").otherwise(F.element_at(p, -1))
         return F.struct(name.alias("label"), F.lower(conf).alias("confidence"), F.when(other, F.coalesce(F.get(p, F.lit(2)), F.lit(""))).otherwise("").alias("other"))
 
-    items = F.filter(F.transform(F.split(body, r"[,\n]"), F.btrim), lambda i: (i != "") & ~i.startswith(":"))
+    items = F.filter(F.transform(F.split(body, r"[,\n]"), lambda x: F.btrim(x)), lambda i: (i != "") & ~i.startswith(":"))
     return F.transform(items, one)
 
 
@@ -211,7 +211,7 @@ def matched_label(raw: Column, vocabulary: list[str], keyword: bool = False, def
 
 def clean_list(values: Column) -> Column:
     """Trimmed entries; empty ones, those over 120 characters and those with a tag go."""
-    return F.filter(F.transform(values, F.btrim), lambda v: (v != "") & (F.length(v) <= 120) & ~F.contains(v, F.lit("<")))
+    return F.filter(F.transform(values, lambda x: F.btrim(x)), lambda v: (v != "") & (F.length(v) <= 120) & ~F.contains(v, F.lit("<")))
 
 
 def keyword_labels(texts: DataFrame, keywords: DataFrame, id_col: str = "id") -> DataFrame:
