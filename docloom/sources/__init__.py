@@ -164,7 +164,7 @@ def turtle_values(spark: SparkSession, path: str) -> DataFrame:
                         out.append((subject, predicate, x.strip('"') if x.startswith('"') else x))
             yield pd.DataFrame(out, columns=["subject", "predicate", "object"])
 
-    return spark.read.option("wholetext", "true").text(path).mapInPandas(run, "subject string, predicate string, object string")
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "subject string, predicate string, object string")
 
 
 def write_partitioned(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
