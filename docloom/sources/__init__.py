@@ -52,7 +52,7 @@ def html_text(html: F.Column) -> F.Column:
     text = F.regexp_replace(broken, r"(?s)<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.btrim(F.regexp_replace(text, r"\n\s*\n+", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, r"\n\s*\n+", "\n"), r"^\s+|\s+$", "")
 
 
 def squad_documents(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
