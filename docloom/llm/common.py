@@ -93,5 +93,7 @@ def tasks(spark: SparkSession) -> int:
 
 
 def rows(batch, *names: str) -> Iterator[tuple]:
-    """The named columns of an Arrow batch, row by row."""
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+    """The named columns of an Arrow batch, row by row; a few hundred rows at a time are Python objects."""
+    for a in range(0, batch.num_rows, 256):
+        part = batch.slice(a, 256)
+        yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)

@@ -90,21 +90,22 @@ class Encoder:
     RUN = re.compile(r"\s{2000}")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.quick = None
+        self.path, self.whole, self.quick = path, None, None
         if ranks := byte_level_ranks(path):
             import tiktoken
 
             self.quick = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def library(self, text: str) -> list[int]:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> bytes:
-        if self.quick and not self.RUN.search(text):
-            ids = self.quick.encode_ordinary(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.quick.encode_ordinary(text) if self.quick and not self.RUN.search(text) else self.library(text)
         return np.array(ids, dtype="<u4").tobytes()
 
 
