@@ -28,13 +28,26 @@ def cluster(mentions: DataFrame, key: Column, *, typed: bool = True) -> DataFram
 
 def near_duplicates(clusters: DataFrame, stop_words: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:
     """Pairs of clusters (key_a < key_b) of a type where one's tokens are properly within the other's, or both begin
-    alike and share `least` of their tokens. Only clusters with a token in common meet."""
+    alike and share `least` of their tokens. Clusters meet by their
+    rarest token, which is among those of whatever holds all their tokens, or by a token of the rare ends of both, of which
+    sets that share `least` have one in common; so frequent tokens bring few together."""
     t = F.filter(F.split("key", " "), lambda x: ~x.isin(*stop_words, ""))
     c = clusters.select("key", "entity_type", t.alias("tokens")).where(F.size("tokens") > 0)
     e = c.withColumn("token", F.explode(F.array_distinct("tokens")))
-    a, b = e.alias("a"), e.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.key") < F.col("b.key")))
-    pairs = met.select(F.col("a.entity_type").alias("entity_type"), F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.col("a.tokens").alias("ta"), F.col("b.tokens").alias("tb")).distinct()
+    seen = e.groupBy("entity_type", "token").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("entity_type", "key")
+    e = e.join(seen, ["entity_type", "token"]).withColumn("i", F.row_number().over(w.orderBy("n", "token"))).withColumn("size", F.count("*").over(w))
+    prefix = e.where(F.col("i") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        a, b = x.alias("a"), y.alias("b")
+        met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.key") != F.col("b.key")))
+        one, two = F.struct(F.col("a.key").alias("key"), F.col("a.tokens").alias("t")), F.struct(F.col("b.key").alias("key"), F.col("b.tokens").alias("t"))
+        first = F.col("a.key") < F.col("b.key")
+        return met.select(F.col("a.entity_type").alias("entity_type"), F.when(first, one).otherwise(two).alias("x"), F.when(first, two).otherwise(one).alias("y"))
+
+    met = meet(e.where("i = 1"), e).union(meet(prefix, prefix))
+    pairs = met.select("entity_type", F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb")).distinct()
     sa, sb = F.array_distinct("ta"), F.array_distinct("tb")
     shared = F.size(F.array_intersect(sa, sb))
     within = (F.size(sa) != F.size(sb)) & (shared == F.least(F.size(sa), F.size(sb)))

@@ -23,9 +23,9 @@ def answer_finalise(t):
     return o.select(F.col("o_orderkey").alias("id"), a.alias("a")).select("id", "a.kind", F.regexp_replace("a.answer", r"\s*,\s*is", " is").alias("answer"), F.size("a.citations").alias("n"))
 
 
-@C.add("SELECT l_orderkey AS id, count(*) AS n, 'needs_review' AS verdict FROM lineitem WHERE l_orderkey < 100 GROUP BY 1")
+@C.add("SELECT l_orderkey AS id, count(*) AS n, 'needs_review' AS verdict FROM lineitem GROUP BY 1")
 def finding_assembly(t):
-    x = t("lineitem").where("l_orderkey < 100")
+    x = t("lineitem")
     pairs = x.select(F.col("l_orderkey").alias("fact_id"), F.col("l_partkey").cast("string").alias("rule_id"), F.lit("un clear").alias("raw_verdict"), F.lit("r").alias("rationale"), F.lit(7.0).alias("raw_confidence"), F.lit("").alias("fact_locator"), F.lit("doc").alias("fact_source"), F.lit("text").alias("fact_text"), F.lit("policy").alias("rule_citation"), F.lit("rule").alias("rule_text"))
     f = answers.findings(pairs).where("confidence = 1.0")
     return f.groupBy(F.col("fact_id").alias("id")).agg(F.count("*").alias("n"), F.max("verdict").alias("verdict"))
@@ -66,9 +66,9 @@ def enum_labels(t):
     return t("part").select(F.col("p_partkey").alias("id"), answers.matched_label(F.get(forms, (F.col("p_partkey") % 3).cast("int")), ["price_and_terms", "geographic", "activity"], keyword=True).alias("label"))
 
 
-@C.add("SELECT l_orderkey AS id, array_to_string(list_sort(list_distinct(list(l_returnflag))), '') AS flags, arg_min(l_linestatus, (l_linenumber, l_linestatus)) AS first FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@C.add("SELECT l_orderkey AS id, array_to_string(list_sort(list_distinct(list(l_returnflag))), '') AS flags, arg_min(l_linestatus, (l_linenumber, l_linestatus)) AS first FROM lineitem GROUP BY 1")
 def sample_combination(t):
-    x = t("lineitem").where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("sample")).agg(F.collect_set("l_returnflag").alias("flags"), F.min("l_linestatus").alias("first"))
+    x = t("lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("sample")).agg(F.collect_set("l_returnflag").alias("flags"), F.min("l_linestatus").alias("first"))
     return answers.combined(x, ("flags",), ("first",)).select("id", F.array_join(F.array_sort("flags"), "").alias("flags"), "first").where("first is not null")
 
 
@@ -77,16 +77,16 @@ def registry_ids(t):
     return t("supplier").select(F.col("s_suppkey").alias("id"), text.cik(F.concat(F.lit("CIK"), F.col("s_suppkey").cast("string"))).alias("cik"))
 
 
-@C.add("SELECT doc_id, count(*) AS n FROM (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 60)))) GROUP BY 1")
+@C.add("SELECT doc_id, count(*) AS n FROM (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) GROUP BY 1")
 def keyword_prefilter(t):
-    k = t("benchmark").select(F.col("item_id").alias("label"), F.substring("text", 1, 60).alias("keyword"))
+    k = t("benchmark").select(F.col("item_id").alias("label"), F.col("text").alias("keyword"))
     return answers.keyword_labels(t("documents").select("doc_id", "text"), k, "doc_id").select("doc_id", F.size("labels").cast("long").alias("n"))
 
 
-@C.add("SELECT b.item_id AS snippet_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(substr(b.text, 1, 60), '\\s+', '', 'g')) GROUP BY 1")
+@C.add("SELECT b.item_id AS snippet_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) GROUP BY 1")
 def snippet_units(t):
     units = t("documents").select(F.lit("all").alias("document"), F.col("doc_id").alias("unit"), "text")
-    snippets = t("benchmark").select(F.lit("all").alias("document"), F.col("item_id").alias("snippet_id"), F.substring("text", 1, 60).alias("snippet"))
+    snippets = t("benchmark").select(F.lit("all").alias("document"), F.col("item_id").alias("snippet_id"), F.col("text").alias("snippet"))
     return answers.unique_snippet(units, snippets).where("n > 0").select("snippet_id", "n")
 
 
@@ -105,7 +105,7 @@ def page_text(t):
 
 @C.add()
 def rerank_passages(t):
-    p = t("documents").where("doc_id < 100").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), "text")
+    p = t("documents").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), "text")
     return rerank(p, overlap_score("the that with and of"), 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 

@@ -14,7 +14,7 @@ C = Catalogue()
 RULE = "CASE WHEN n_chars > 300 THEN 'good' ELSE 'bad' END"
 GOLD = f"""
 gold AS (SELECT doc_id AS item_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS expected, toxic FROM labels),
-pred AS (SELECT doc_id AS item_id, {RULE} AS verdict, round((doc_id % 11) / 10.0, 1) AS score FROM documents WHERE doc_id % 10 <> 3),
+pred AS (SELECT doc_id AS item_id, {RULE} AS verdict, round((doc_id % 11) / 10.0, 1) AS score FROM documents WHERE lang <> 'de'),
 judged AS (SELECT g.*, p.verdict, p.score, p.item_id IS NOT NULL AS answered FROM gold g LEFT JOIN pred p USING (item_id))"""
 
 
@@ -23,7 +23,7 @@ def gold(t):
 
 
 def predictions(t):
-    return t("documents").where("doc_id % 10 <> 3").select(F.col("doc_id").alias("item_id"), F.expr(RULE).alias("verdict"), F.round((F.col("doc_id") % 11) / 10.0, 1).alias("score"))
+    return t("documents").where("lang <> 'de'").select(F.col("doc_id").alias("item_id"), F.expr(RULE).alias("verdict"), F.round((F.col("doc_id") % 11) / 10.0, 1).alias("score"))
 
 
 def r9(df, *names):
@@ -71,8 +71,8 @@ def length_groups(t):
 
 
 RANKED = """
-grades AS (SELECT o_custkey AS item_id, l_partkey AS id, max(l_linenumber) AS grade FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 60 AND l_linenumber <= 4 GROUP BY 1, 2),
-ranked AS (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY (id * 7919) % 1000, id) AS rank FROM grades WHERE id % 4 <> 0),
+grades AS (SELECT o_custkey AS item_id, l_partkey AS id, max(l_linenumber) AS grade, max(l_tax) AS tax FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+ranked AS (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY (id * 7919) % 1000, id) AS rank FROM grades WHERE tax > 0.02),
 rel AS (SELECT item_id, id FROM grades WHERE grade >= 2),
 per AS (SELECT rel.item_id, count(*) AS relevant, count(r.id) AS found FROM rel LEFT JOIN (SELECT * FROM ranked WHERE rank <= 10) r ON r.item_id = rel.item_id AND r.id = rel.id GROUP BY 1),
 dcg AS (SELECT g.item_id, sum((pow(2.0, grade) - 1) / log2(rank + 1)) AS dcg FROM ranked r JOIN grades g ON g.item_id = r.item_id AND g.id = r.id WHERE rank <= 10 GROUP BY 1),
@@ -83,10 +83,10 @@ gain AS (SELECT i.item_id, CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE
 def ranked_lists(t):
     from pyspark.sql import Window
 
-    g = t("orders").where("o_custkey <= 60").join(t("lineitem").where("l_linenumber <= 4"), F.col("l_orderkey") == F.col("o_orderkey"))
-    grades = g.groupBy(F.col("o_custkey").alias("item_id"), F.col("l_partkey").alias("id")).agg(F.max("l_linenumber").alias("grade"))
+    g = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    grades = g.groupBy(F.col("o_custkey").alias("item_id"), F.col("l_partkey").alias("id")).agg(F.max("l_linenumber").alias("grade"), F.max("l_tax").alias("tax"))
     w = Window.partitionBy("item_id").orderBy((F.col("id") * 7919) % 1000, "id")
-    return grades, grades.where("id % 4 <> 0").select("item_id", "id", F.row_number().over(w).alias("rank"))
+    return grades, grades.where("tax > 0.02").select("item_id", "id", F.row_number().over(w).alias("rank"))
 
 
 @C.add(f"WITH {RANKED}, every AS (SELECT DISTINCT item_id FROM grades) SELECT count(*) AS n, count(per.item_id) AS scored, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.item_id = every.item_id)) AS errors, round(avg(found / CAST(relevant AS DOUBLE)), 9) AS recall, round(avg(CASE WHEN per.item_id IS NOT NULL THEN ndcg END), 9) AS ndcg, avg(found / CAST(relevant AS DOUBLE)) >= 0.2 AS passed FROM every LEFT JOIN per ON per.item_id = every.item_id LEFT JOIN gain ON gain.item_id = every.item_id")
@@ -108,7 +108,7 @@ def score_relational(t):
 
 
 NAMES = """
-g0 AS (SELECT s_nationkey AS item_id, s_name AS text, s_suppkey AS position FROM supplier), p0 AS (SELECT s_nationkey AS item_id, upper(s_name) || ' .' AS text, s_suppkey AS position FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_nationkey, 'unrelated ' || s_nationkey, 100000 FROM supplier),
+g0 AS (SELECT s_nationkey AS item_id, s_name AS text, s_suppkey AS position FROM supplier), p0 AS (SELECT s_nationkey AS item_id, upper(s_name) || ' .' AS text, s_suppkey AS position FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT s_nationkey, 'unrelated ' || s_nationkey, 100000 FROM supplier),
 g AS (SELECT DISTINCT item_id, trim(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')), ' .,;:') AS k FROM g0), p AS (SELECT DISTINCT item_id, trim(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')), ' .,;:') AS k FROM p0),
 m AS (SELECT g.item_id, g.k AS gk, p.k AS pk FROM g JOIN p ON g.item_id = p.item_id AND (contains(g.k, p.k) OR contains(p.k, g.k))),
 h AS (SELECT x.item_id, x.n AS n_gold, coalesce(f.f, 0) AS found, coalesce(o.n, 0) AS n_out, coalesce(f.p, 0) AS kept FROM (SELECT item_id, count(*) AS n FROM g GROUP BY 1) x LEFT JOIN (SELECT item_id, count(DISTINCT gk) AS f, count(DISTINCT pk) AS p FROM m GROUP BY 1) f ON f.item_id = x.item_id LEFT JOIN (SELECT item_id, count(*) AS n FROM p GROUP BY 1) o ON o.item_id = x.item_id)"""
@@ -117,7 +117,7 @@ h AS (SELECT x.item_id, x.n AS n_gold, coalesce(f.f, 0) AS found, coalesce(o.n,
 def name_lists(t):
     s = t("supplier")
     g = s.select(F.col("s_nationkey").alias("item_id"), F.col("s_name").alias("text"), F.col("s_suppkey").alias("position"))
-    p = s.where("s_suppkey % 3 <> 0").select(F.col("s_nationkey").alias("item_id"), F.concat(F.upper("s_name"), F.lit(" .")).alias("text"), F.col("s_suppkey").alias("position"))
+    p = s.where("s_acctbal > 0").select(F.col("s_nationkey").alias("item_id"), F.concat(F.upper("s_name"), F.lit(" .")).alias("text"), F.col("s_suppkey").alias("position"))
     return g, p.unionAll(s.select("s_nationkey", F.concat(F.lit("unrelated "), "s_nationkey"), F.lit(100000).cast("long")))
 
 
@@ -132,29 +132,29 @@ def score_extraction_macro(t):
 
 
 CITES = """
-gold AS (SELECT o_orderkey AS item_id, list(CAST(l_partkey AS VARCHAR)) FILTER (WHERE l_linenumber <= 2 AND o_orderkey % 3 <> 0) AS cites FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 3000 GROUP BY 1),
-pred AS (SELECT o_orderkey AS item_id, list(CAST(l_partkey AS VARCHAR)) FILTER (WHERE l_linenumber <= 1) AS cites, o_orderkey % 6 = 0 AS abstained FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2500 GROUP BY 1),
+gold AS (SELECT o_orderkey AS item_id, list(CAST(l_partkey AS VARCHAR)) FILTER (WHERE l_linenumber <= 2 AND o_orderstatus <> 'P') AS cites FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+pred AS (SELECT o_orderkey AS item_id, list(CAST(l_partkey AS VARCHAR)) FILTER (WHERE l_linenumber <= 1) AS cites, bool_or(o_orderpriority = '5-LOW') AS abstained FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority <> '1-URGENT' GROUP BY 1),
 j AS (SELECT g.item_id, coalesce(g.cites, []) AS cites, coalesce(p.cites, []) AS got, p.abstained FROM gold g LEFT JOIN pred p ON p.item_id = g.item_id),
 r AS (SELECT count(*) AS n, count(*) FILTER (WHERE abstained IS NULL) AS errors, avg(CASE WHEN len(cites) > 0 THEN len(list_intersect(cites, got)) / CAST(len(list_distinct(cites)) AS DOUBLE) END) AS cr, avg(CASE WHEN len(cites) = 0 THEN CASE WHEN coalesce(abstained, false) THEN 1.0 ELSE 0.0 END END) AS ab FROM j)"""
 
 
 @C.add(f"WITH {CITES} SELECT n, errors, round(cr, 9) AS citation_recall, round(ab, 9) AS abstention, cr >= 0.3 AND ab >= 0.3 AS passed FROM r")
 def score_generation(t):
-    x = t("orders").where("o_orderkey < 3000").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     cite = F.col("l_partkey").cast("string")
-    g = x.groupBy(F.col("o_orderkey").alias("item_id")).agg(F.collect_list(F.when((F.col("l_linenumber") <= 2) & (F.col("o_orderkey") % 3 != 0), cite)).alias("cites"))
-    p = x.where("o_orderkey < 2500").groupBy(F.col("o_orderkey").alias("item_id")).agg(F.collect_list(F.when(F.col("l_linenumber") <= 1, cite)).alias("cites")).withColumn("abstained", F.col("item_id") % 6 == 0)
+    g = x.groupBy(F.col("o_orderkey").alias("item_id")).agg(F.collect_list(F.when((F.col("l_linenumber") <= 2) & (F.col("o_orderstatus") != "P"), cite)).alias("cites"))
+    p = x.where("o_orderpriority <> '1-URGENT'").groupBy(F.col("o_orderkey").alias("item_id")).agg(F.collect_list(F.when(F.col("l_linenumber") <= 1, cite)).alias("cites"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("abstained"))
     return r9(evals.generation(g, p, citation_recall=0.3, abstention=0.3), "citation_recall", "abstention")
 
 
-@C.add("""WITH g AS (SELECT s_nationkey AS item_id, lower(s_name) AS k FROM supplier), c AS (SELECT s_nationkey AS item_id, lower(s_name) AS k FROM supplier WHERE s_suppkey % 4 <> 0), v AS (SELECT s_nationkey AS item_id, lower(s_name) AS k, s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_nationkey, 'other', 0 FROM supplier WHERE s_suppkey < 5)
+@C.add("""WITH g AS (SELECT s_nationkey AS item_id, lower(s_name) AS k FROM supplier), c AS (SELECT s_nationkey AS item_id, lower(s_name) AS k FROM supplier WHERE s_acctbal > 0), v AS (SELECT s_nationkey AS item_id, lower(s_name) AS k, s_acctbal > 8000 AS ign FROM supplier WHERE s_acctbal > 2000 UNION ALL SELECT s_nationkey, 'other', false FROM supplier WHERE s_acctbal < 0)
 SELECT round((SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM c WHERE c.item_id = g.item_id AND (contains(g.k, c.k) OR contains(c.k, g.k)))) / (SELECT CAST(count(*) AS DOUBLE) FROM g), 9) AS coverage,
-round((SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM v WHERE v.s_suppkey % 10 <> 0 AND v.item_id = g.item_id AND (contains(g.k, v.k) OR contains(v.k, g.k)))) / (SELECT CAST(count(*) AS DOUBLE) FROM g), 9) AS recall,
-round((SELECT count(*) FROM (SELECT DISTINCT item_id, k FROM v WHERE s_suppkey % 10 <> 0 OR k = 'other') v WHERE EXISTS (SELECT 1 FROM g WHERE v.item_id = g.item_id AND (contains(g.k, v.k) OR contains(v.k, g.k)))) / (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT item_id, k FROM v WHERE s_suppkey % 10 <> 0 OR k = 'other')), 9) AS precision""")
+round((SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM v WHERE NOT v.ign AND v.item_id = g.item_id AND (contains(g.k, v.k) OR contains(v.k, g.k)))) / (SELECT CAST(count(*) AS DOUBLE) FROM g), 9) AS recall,
+round((SELECT count(*) FROM (SELECT DISTINCT item_id, k FROM v WHERE NOT ign) v WHERE EXISTS (SELECT 1 FROM g WHERE v.item_id = g.item_id AND (contains(g.k, v.k) OR contains(v.k, g.k)))) / (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT item_id, k FROM v WHERE NOT ign)), 9) AS precision""")
 def score_candidate_choice(t):
-    s = t("supplier").select(F.col("s_nationkey").alias("item_id"), F.col("s_name").alias("text"), "s_suppkey")
-    chosen = s.where("s_suppkey % 2 = 0").select("item_id", "text").unionAll(s.where("s_suppkey < 5").select("item_id", F.lit("other")))
-    return r9(evals.candidate_choice(s, s.where("s_suppkey % 4 <> 0"), chosen, s.where("s_suppkey % 10 = 0").select("item_id", "text")), "coverage", "recall", "precision")
+    s = t("supplier").select(F.col("s_nationkey").alias("item_id"), F.col("s_name").alias("text"), "s_acctbal")
+    chosen = s.where("s_acctbal > 2000").select("item_id", "text").unionAll(s.where("s_acctbal < 0").select("item_id", F.lit("other")))
+    return r9(evals.candidate_choice(s, s.where("s_acctbal > 0"), chosen, s.where("s_acctbal > 8000").select("item_id", "text")), "coverage", "recall", "precision")
 
 
 @C.add("SELECT toxic AS label, count(*) AS n, round(avg(CASE WHEN coalesce(CAST(doc_id % 2 AS INT) = toxic, false) THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM labels GROUP BY toxic")
@@ -168,21 +168,21 @@ def eval_flips(t):
     return evals.flips(t("events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("repeat"), F.col("event_type").alias("output")))
 
 
-@C.add("""WITH p AS (SELECT a.item_id AS id, string_split(trim(regexp_replace(regexp_replace(lower(a.text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS x, string_split(trim(regexp_replace(regexp_replace(lower(b.text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE regexp_matches(a.text || b.text, '^[\\x00-\\x7F]*$')),
+@C.add("""WITH p AS (SELECT a.item_id AS id, string_split(trim(regexp_replace(regexp_replace(lower(a.text), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS x, string_split(trim(regexp_replace(regexp_replace(lower(b.text), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
 c AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(x) AS w FROM p) WHERE w <> '' GROUP BY 1, 2), d AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(y) AS w FROM p) WHERE w <> '' GROUP BY 1, 2), s AS (SELECT id, sum(least(c.n, d.n)) AS same FROM c JOIN d USING (id, w) GROUP BY 1),
 f AS (SELECT p.id, coalesce(same, 0) / CAST(len(list_filter(x, lambda w: w <> '')) AS DOUBLE) AS pr, coalesce(same, 0) / CAST(len(list_filter(y, lambda w: w <> '')) AS DOUBLE) AS re FROM p LEFT JOIN s ON s.id = p.id)
 SELECT id, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1 FROM f""")
 def token_prf(t):
     b = t("benchmark")
     pairs = b.select(F.col("item_id").alias("id"), F.col("text").alias("predicted")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("text").alias("gold")), "id")
-    return r9(evals.token_overlap(pairs.where(F.concat("predicted", "gold").rlike(r"^[\x00-\x7F]*$"))), "precision", "recall", "f1")
+    return r9(evals.token_overlap(pairs), "precision", "recall", "f1")
 
 
-@C.add("SELECT d.vec_id AS id, round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings d, embeddings q WHERE q.vec_id = 7 AND d.vec_id < 100")
+@C.add("SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings d, embeddings q WHERE q.vec_id % 100 = 0")
 def cosine_pairs(t):
     e = t("embeddings")
-    q = e.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    return e.where("vec_id < 100").crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.crossJoin(q).select("query_id", F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
 
 
 def calls(t):

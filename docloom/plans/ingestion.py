@@ -38,10 +38,10 @@ def page_runs(t):
     return S.runs(e, "k", "n", "bad")
 
 
-@C.add("""WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS st FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber > 0 AND l_linenumber < 6 UNION SELECT DISTINCT l_orderkey, 0 FROM lineitem WHERE l_orderkey < 2000)
+@C.add("""WITH s AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS st FROM lineitem WHERE l_linenumber > 0 AND l_linenumber < 6 UNION SELECT DISTINCT l_orderkey, 0 FROM lineitem)
 SELECT doc_id, st AS start, coalesce(lead(st) OVER (PARTITION BY doc_id ORDER BY st), 6) AS "end" FROM s""")
 def partition_repair(t):
-    x = t("lineitem").where("l_orderkey < 2000")
+    x = t("lineitem")
     sizes = x.select(F.col("l_orderkey").alias("doc_id"), F.lit(6).alias("n")).distinct()
     return S.boundaries(x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start")), sizes)
 
@@ -93,9 +93,9 @@ def column_letters(t):
     return t("part").select("p_partkey", text.column_letters((F.col("p_size") - 1).cast("int")).alias("letters"))
 
 
-@C.add("SELECT l_orderkey AS doc_id, 1 AS table_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS row, 'line,flag' AS header, l_linenumber || ',x y' AS cells FROM lineitem WHERE l_orderkey < 300")
+@C.add("SELECT l_orderkey AS doc_id, 1 AS table_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS row, 'line,flag' AS header, l_linenumber || ',x y' AS cells FROM lineitem")
 def record_tables(t):
-    x = t("lineitem").where("l_orderkey < 300")
+    x = t("lineitem")
     rows = F.array_sort(F.collect_list("l_linenumber"))
     grid = F.concat(F.array(F.array(F.lit("line"), F.lit(" flag"))), F.transform(rows, lambda i: F.array(i.cast("string"), F.lit("x \n y"))))
     tables = x.groupBy(F.col("l_orderkey").alias("doc_id")).agg(grid.alias("grid")).withColumn("table_id", F.lit(1))

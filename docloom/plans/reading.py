@@ -97,12 +97,12 @@ def kg_edges_in(t):
     return out.select(F.col("c_c_custkey").alias("customer"), F.col("v_o_orderkey").alias("order_id"))
 
 
-@C.add("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN upper(n_name) ELSE n_name END AS n_name, CASE WHEN n_nationkey % 5 = 0 THEN 99 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 100, 'NOWHERE', NULL")
+@C.add("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE n_name END AS n_name, CASE WHEN n_regionkey IN (1, 2) THEN 99 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 100, 'NOWHERE', NULL")
 def kg_upsert_merge(t):
     n = t("nation")
-    a = n.where("n_nationkey % 3 = 0").select("n_nationkey", F.upper("n_name").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"), F.lit(2).alias("seq"))
-    b = n.where("n_nationkey % 3 = 0").select("n_nationkey", F.lit("older").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"), F.lit(1).alias("seq"))
-    c = n.where("n_nationkey % 5 = 0").select("n_nationkey", F.lit(None).cast("string").alias("n_name"), F.lit(99).alias("n_regionkey"), F.lit(3).alias("seq"))
+    a = n.where("n_regionkey = 1").select("n_nationkey", F.upper("n_name").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"), F.lit(2).alias("seq"))
+    b = n.where("n_regionkey = 1").select("n_nationkey", F.lit("older").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"), F.lit(1).alias("seq"))
+    c = n.where("n_regionkey IN (1, 2)").select("n_nationkey", F.lit(None).cast("string").alias("n_name"), F.lit(99).alias("n_regionkey"), F.lit(3).alias("seq"))
     d = n.limit(1).select(F.lit(100).alias("n_nationkey"), F.lit("NOWHERE").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"), F.lit(4).alias("seq"))
     return store.upsert(n, a.unionAll(b).unionAll(c).unionAll(d), ["n_nationkey"], "seq")
 
@@ -161,7 +161,7 @@ def content_hash_ids(t):
     return d.select("doc_id", s.alias("slug"), ids.chunk_id(s, F.lit(0), F.col("text")).alias("chunk_id"), ids.content_id(s, F.lit("s1"), F.col("text")).alias("content_id"), ids.cache_key(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("source"), F.lit("v1")).alias("cache_key"))
 
 
-@C.add("SELECT doc_id, ok.n AS n_documents FROM documents, (SELECT count(DISTINCT md5(text)) AS n FROM documents) ok WHERE doc_id < 0 OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY md5(text))")
+@C.add("SELECT doc_id, ok.n AS n_documents FROM documents, (SELECT count(DISTINCT md5(text)) AS n FROM documents) ok WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY md5(text))")
 def content_gate(t):
     d = t("documents").select("doc_id", F.md5("text").alias("hash"))
     first = d.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))

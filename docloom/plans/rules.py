@@ -18,22 +18,22 @@ def day(c):
 DAY = "date_diff('day', DATE '1992-01-01', CAST({} AS DATE))"
 
 
-@C.add(f"""WITH s AS (SELECT DISTINCT l_suppkey AS document, l_orderkey || '-' || {DAY.format('l_shipdate')} AS span_id, {DAY.format('l_shipdate')} AS a, {DAY.format('l_shipdate')} + 20 AS b FROM lineitem WHERE l_orderkey < 2000),
+@C.add(f"""WITH s AS (SELECT DISTINCT l_suppkey AS document, l_orderkey || '-' || {DAY.format('l_shipdate')} AS span_id, {DAY.format('l_shipdate')} AS a, {DAY.format('l_shipdate')} + 20 AS b FROM lineitem),
 p AS (SELECT s_suppkey AS document, CAST(i AS INTEGER) AS page, i * 30 AS a, i * 30 + 30 AS b, 'box' || i AS box FROM supplier, (SELECT unnest(range(90)) AS i)),
 m AS (SELECT DISTINCT s.document, span_id, page, box FROM s JOIN p ON s.document = p.document AND s.a < p.b AND s.b > p.a)
 SELECT s.document, s.span_id, coalesce(array_to_string(list_sort(list(page)), ','), '') AS pages, CASE WHEN count(page) = 1 THEN max(box) END AS box FROM s LEFT JOIN m USING (document, span_id) GROUP BY 1, 2""")
 def page_overlap(t):
-    s = t("lineitem").where("l_orderkey < 2000").select(F.col("l_suppkey").alias("document"), F.concat_ws("-", F.col("l_orderkey").cast("string"), day("l_shipdate").cast("string")).alias("span_id"), day("l_shipdate").alias("start"), (day("l_shipdate") + 20).alias("end")).distinct()
+    s = t("lineitem").select(F.col("l_suppkey").alias("document"), F.concat_ws("-", F.col("l_orderkey").cast("string"), day("l_shipdate").cast("string")).alias("span_id"), day("l_shipdate").alias("start"), (day("l_shipdate") + 20).alias("end")).distinct()
     p = t("supplier").select(F.col("s_suppkey").alias("document"), F.explode(F.sequence(F.lit(0), F.lit(89))).alias("page")).select("document", "page", (F.col("page") * 30).alias("start"), (F.col("page") * 30 + 30).alias("end"), F.concat(F.lit("box"), "page").alias("box"))
     return clauses.overlapping_pages(s, p, 365).withColumn("pages", F.array_join("pages", ","))
 
 
-@C.add(f"""WITH s AS (SELECT l_suppkey AS document, l_orderkey || '-' || l_linenumber AS span_id, {DAY.format('l_shipdate')} AS a, {DAY.format('l_shipdate')} + 20 AS b FROM lineitem WHERE l_orderkey < 2000),
+@C.add(f"""WITH s AS (SELECT l_suppkey AS document, l_orderkey || '-' || l_linenumber AS span_id, {DAY.format('l_shipdate')} AS a, {DAY.format('l_shipdate')} + 20 AS b FROM lineitem),
 l AS (SELECT s_suppkey AS document, CASE WHEN i % 3 = 0 THEN 'X' WHEN i % 3 = 1 THEN 'Y' ELSE 'Z' END AS label, i * 50 AS a, i * 50 + 15 + i % 20 AS b, i AS position FROM supplier, (SELECT unnest(range(50)) AS i)),
 m AS (SELECT s.document, span_id, label, row_number() OVER (PARTITION BY s.document, span_id ORDER BY least(s.b, l.b) - greatest(s.a, l.a) DESC, position) AS n FROM s JOIN l ON s.document = l.document AND s.a < l.b AND s.b > l.a)
 SELECT s.document, s.span_id, coalesce(label, 'NONE') AS label FROM s LEFT JOIN m ON m.document = s.document AND m.span_id = s.span_id AND n = 1""")
 def label_max_overlap(t):
-    s = t("lineitem").where("l_orderkey < 2000").select(F.col("l_suppkey").alias("document"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("span_id"), day("l_shipdate").alias("start"), (day("l_shipdate") + 20).alias("end"))
+    s = t("lineitem").select(F.col("l_suppkey").alias("document"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("span_id"), day("l_shipdate").alias("start"), (day("l_shipdate") + 20).alias("end"))
     lab = t("supplier").select(F.col("s_suppkey").alias("document"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("position"))
     name = F.when(F.col("position") % 3 == 0, "X").when(F.col("position") % 3 == 1, "Y").otherwise("Z")
     lab = lab.select("document", name.alias("label"), (F.col("position") * 50).alias("start"), (F.col("position") * 50 + 15 + F.col("position") % 20).alias("end"), "position")
@@ -41,7 +41,7 @@ def label_max_overlap(t):
 
 
 COOC = """co AS (SELECT dimension, function, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS clause_id, p_brand AS dimension, l_returnflag AS function FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N') GROUP BY 1, 2),
-w AS (SELECT *, sum(n) OVER (PARTITION BY dimension) AS nd, sum(n) OVER (PARTITION BY function) AS nf, sum(n) OVER () AS tot FROM co), dims AS (SELECT DISTINCT p_brand AS dimension FROM part WHERE p_partkey <= 5)"""
+w AS (SELECT *, sum(n) OVER (PARTITION BY dimension) AS nd, sum(n) OVER (PARTITION BY function) AS nf, sum(n) OVER () AS tot FROM co), dims AS (SELECT unnest(['Brand#11', 'Brand#12', 'Brand#21']) AS dimension)"""
 
 
 def cooccurrences(t):
@@ -56,7 +56,7 @@ def cooccurrence(t):
 
 def routed(score):
     def f(t):
-        dims = t("part").where("p_partkey <= 5").select(F.col("p_brand").alias("dimension"))
+        dims = t("part").select(F.col("p_brand").alias("dimension")).where(F.col("dimension").isin("Brand#11", "Brand#12", "Brand#21"))
         return clauses.route(cooccurrences(t), dims, k=2, score=score)
 
     f.__name__ = f"route_functions_{score}"
@@ -79,7 +79,7 @@ def provision_vote(t):
     return clauses.vote(m).withColumn("total", F.round("total", 9)).select("unit", "label", "total", "member")
 
 
-RULES = "rules AS (SELECT n_nationkey AS rule_id, n_regionkey AS region, CASE WHEN n_nationkey % 3 = 0 THEN ['BUILDING', 'MACHINERY'] WHEN n_nationkey % 3 = 1 THEN [] ELSE ['AUTOMOBILE'] END AS segs FROM nation), facts AS (SELECT c_custkey AS fact_id, n_regionkey AS region, c_mktsegment AS seg FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey <= 300)"
+RULES = "rules AS (SELECT n_nationkey AS rule_id, n_regionkey AS region, CASE WHEN n_nationkey % 3 = 0 THEN ['BUILDING', 'MACHINERY'] WHEN n_nationkey % 3 = 1 THEN [] ELSE ['AUTOMOBILE'] END AS segs FROM nation), facts AS (SELECT c_custkey AS fact_id, n_regionkey AS region, c_mktsegment AS seg FROM customer JOIN nation ON n_nationkey = c_nationkey)"
 
 
 def rules_and_facts(t):
@@ -87,7 +87,7 @@ def rules_and_facts(t):
     seg = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).when(F.col("n_nationkey") % 3 == 1, none).otherwise(F.array(F.lit("AUTOMOBILE")))
     scope = F.when(F.size(seg) > 0, F.create_map(F.lit("segment"), seg)).otherwise(F.create_map().cast("map<string,array<string>>"))
     rules = t("nation").select(F.col("n_nationkey").alias("rule_id"), F.array(F.col("n_regionkey").cast("string")).alias("types"), scope.alias("rule_scope"))
-    facts = t("customer").where("c_custkey <= 300").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    facts = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return facts.select(F.col("c_custkey").alias("fact_id"), F.col("n_regionkey").cast("string").alias("claim_type"), F.create_map(F.lit("segment"), F.array("c_mktsegment")).alias("fact_scope")), rules
 
 
@@ -119,12 +119,12 @@ def deontic_route(t):
     return o.select("o_orderkey", compliance.deontic_route(F.when(F.col("o_orderkey") % 11 == 0, "special"), F.when(F.col("o_orderpriority") == "5-LOW", "AMBIGUOUS"), kind).alias("route"))
 
 
-FINDINGS = "f AS (SELECT l_partkey AS rule_id, l_orderkey AS fact_id, l_suppkey AS document, CASE WHEN l_quantity > 45 THEN 'violation' WHEN l_quantity > 30 THEN 'needs_review' ELSE 'compliant' END AS verdict, 'c' || l_orderkey || '-' || l_linenumber AS citation, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_partkey <= 300)"
+FINDINGS = "f AS (SELECT l_partkey AS rule_id, l_orderkey AS fact_id, l_suppkey AS document, CASE WHEN l_quantity > 45 THEN 'violation' WHEN l_quantity > 30 THEN 'needs_review' ELSE 'compliant' END AS verdict, 'c' || l_orderkey || '-' || l_linenumber AS citation, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
 
 
 def findings(t):
     v = F.when(F.col("l_quantity") > 45, "violation").when(F.col("l_quantity") > 30, "needs_review").otherwise("compliant")
-    return t("lineitem").where("l_partkey <= 300").select(F.col("l_partkey").alias("rule_id"), F.col("l_orderkey").alias("fact_id"), F.col("l_suppkey").alias("document"), v.alias("verdict"), F.concat(F.lit("c"), "l_orderkey", F.lit("-"), "l_linenumber").alias("citation"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return t("lineitem").select(F.col("l_partkey").alias("rule_id"), F.col("l_orderkey").alias("fact_id"), F.col("l_suppkey").alias("document"), v.alias("verdict"), F.concat(F.lit("c"), "l_orderkey", F.lit("-"), "l_linenumber").alias("citation"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
 
 @C.add(f"WITH {FINDINGS} SELECT rule_id, CASE max(CASE verdict WHEN 'violation' THEN 2 WHEN 'needs_review' THEN 1 ELSE 0 END) WHEN 2 THEN 'violation' WHEN 1 THEN 'needs_review' ELSE 'compliant' END AS verdict, count(DISTINCT fact_id) AS facts, arg_min(citation, seq) AS citation FROM f GROUP BY 1")
@@ -137,10 +137,10 @@ def report_verdict(t):
     return compliance.report(findings(t))
 
 
-@C.add("SELECT rule_id, defense, score, rank FROM (SELECT a.p_partkey AS rule_id, b.p_partkey AS defense, CAST(-abs(a.p_size - b.p_size) AS INTEGER) AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY -abs(a.p_size - b.p_size) DESC, b.p_partkey) AS rank FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey <= 50 AND b.p_partkey BETWEEN 51 AND 300) WHERE rank <= 3")
+@C.add("SELECT rule_id, defense, score, rank FROM (SELECT a.p_partkey AS rule_id, b.p_partkey AS defense, CAST(-abs(a.p_size - b.p_size) AS INTEGER) AS score, row_number() OVER (PARTITION BY a.p_partkey ORDER BY -abs(a.p_size - b.p_size) DESC, b.p_partkey) AS rank FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_size <= 10 AND b.p_size > 10) WHERE rank <= 3")
 def defense_links(t):
     p = t("part").select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("source"), "p_size")
-    return compliance.defenses(p.where("rule_id <= 50"), p.where("rule_id BETWEEN 51 AND 300"), -F.abs(F.col("p.p_size") - F.col("d.p_size")))
+    return compliance.defenses(p.where("p_size <= 10"), p.where("p_size > 10"), -F.abs(F.col("p.p_size") - F.col("d.p_size")))
 
 
 @C.add("SELECT c_custkey AS clause_id, CASE WHEN contains(lower(c_name || ' works in the building trade'), CASE c_mktsegment WHEN 'BUILDING' THEN 'building' WHEN 'MACHINERY' THEN 'machine' ELSE 'zzz' END) THEN 'EXTRACTED' ELSE 'AMBIGUOUS' END AS confidence FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -151,32 +151,32 @@ def grounding(t):
     return clauses.reground(clauses.grounded(a, cues)).select("clause_id", "confidence")
 
 
-@C.add("WITH a AS (SELECT DISTINCT l_orderkey AS clause_id, 'flag' AS dimension, l_returnflag AS value FROM lineitem WHERE l_orderkey < 1000), n AS (SELECT clause_id, count(DISTINCT value) AS k FROM a GROUP BY 1) SELECT a.clause_id, dimension, value, CASE WHEN k > 1 THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END AS confidence FROM a JOIN n ON n.clause_id = a.clause_id")
+@C.add("WITH a AS (SELECT DISTINCT l_orderkey AS clause_id, 'flag' AS dimension, l_returnflag AS value FROM lineitem), n AS (SELECT clause_id, count(DISTINCT value) AS k FROM a GROUP BY 1) SELECT a.clause_id, dimension, value, CASE WHEN k > 1 THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END AS confidence FROM a JOIN n ON n.clause_id = a.clause_id")
 def contradiction_flags(t):
-    a = t("lineitem").where("l_orderkey < 1000").select(F.col("l_orderkey").alias("clause_id"), F.lit("flag").alias("dimension"), F.col("l_returnflag").alias("value")).distinct()
+    a = t("lineitem").select(F.col("l_orderkey").alias("clause_id"), F.lit("flag").alias("dimension"), F.col("l_returnflag").alias("value")).distinct()
     return clauses.contradictions(a.withColumn("confidence", F.lit("EXTRACTED")), ("flag",))
 
 
-@C.add("SELECT o_orderkey AS clause_id, len(list(l_partkey)) AS n, array_to_string(list_sort(list_distinct(list(p_type))), '|') AS kinds FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 500 GROUP BY 1")
+@C.add("SELECT o_orderkey AS clause_id, len(list(l_partkey)) AS n, array_to_string(list_sort(list_distinct(list(p_type))), '|') AS kinds FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def clause_index(t):
-    x = t("lineitem").where("l_orderkey < 500").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    x = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
     props = x.select(F.col("l_orderkey").alias("clause_id"), F.lit("type").alias("dimension"), F.col("p_type").alias("value"), F.lit("EXTRACTED").alias("confidence"))
-    c = t("orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("clause_id"))
+    c = t("orders").select(F.col("o_orderkey").alias("clause_id"))
     n = x.groupBy(F.col("l_orderkey").alias("clause_id")).agg(F.count("*").alias("n"))
     nested = clauses.with_properties(c, props)
     return nested.join(n, "clause_id").select("clause_id", "n", F.array_join(F.array_sort(F.transform("properties", lambda p: p["value"])), "|").alias("kinds"))
 
 
-@C.add("SELECT l_orderkey AS clause_id, string_agg('line' || l_linenumber, ' ' ORDER BY l_linenumber) AS text FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@C.add("SELECT l_orderkey AS clause_id, string_agg('line' || l_linenumber, ' ' ORDER BY l_linenumber) AS text FROM lineitem GROUP BY 1")
 def clause_texts(t):
-    x = t("lineitem").where("l_orderkey < 500")
+    x = t("lineitem")
     spans = x.select(F.concat_ws("#", "l_orderkey", "l_linenumber").alias("span_id"), F.concat(F.lit("line"), "l_linenumber").alias("text")).dropDuplicates(["span_id"])
     c = x.groupBy(F.col("l_orderkey").alias("clause_id")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("ns"))
     c = c.select("clause_id", F.transform("ns", lambda i: F.concat_ws("#", F.col("clause_id").cast("string"), i.cast("string"))).alias("span_ids"))
     return clauses.texts_of(c, spans)
 
 
-@C.add("SELECT doc_id, regexp_matches(lower(text), '\\b(that|the|with)\\b') AS operative FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@C.add("SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(that|the|with)($|[^\\p{L}\\p{N}_])') AS operative FROM documents")
 def operative_text(t):
-    d = t("documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    d = t("documents")
     return d.select("doc_id", F.col("text").rlike(text.cue_pattern(["the", "that", "with"])).alias("operative"))
