@@ -1 +1,10 @@
 """Column builders: they return expressions, so plans stay inside the JVM."""
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores where it is read from fewer files: a file of one row group is one
+    task, however long its Python function takes. Larger tables are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.vectors import certainty_name, doubt, interval_gap
+from docloom.functions.vectors import certainty_name, doubt
 
 
 def with_properties(clauses: DataFrame, properties: DataFrame) -> DataFrame:
@@ -29,16 +29,28 @@ def grounded_only(properties: Column) -> Column:
     return F.filter(properties, lambda p: p["confidence"] != "AMBIGUOUS")
 
 
-def nearest(exceptions: DataFrame, caps: DataFrame, window: int = 3000) -> tuple[DataFrame, DataFrame]:
+def nearest(exceptions: DataFrame, caps: DataFrame, window: int = 3000, cell: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Links (contract, exception, cap, gap) of each exception to the nearest cap of its contract, and the exceptions
     without one within `window` characters. Both sides: contract, id, start, end, position; equal gaps go to the first
-    cap by position. Caps and exceptions meet by contract only."""
-    e, c = exceptions.alias("e"), caps.alias("c")
-    met = e.join(c, F.col("e.contract") == F.col("c.contract")).select(
-        F.col("e.contract").alias("contract"), F.col("e.id").alias("exception"), F.col("c.id").alias("cap"), F.col("c.position").alias("p"),
-        interval_gap(F.col("e.start"), F.col("e.end"), F.col("c.start"), F.col("c.end")).alias("gap"),
-    )
-    best = met.groupBy("contract", "exception").agg(F.min(F.struct("gap", "p", "cap")).alias("b")).select("contract", "exception", "b.cap", "b.gap")
+    cap by position. The nearest cap to the left and to the right come from one sorted pass over a contract each, overlapping
+    ones from a join by cell of the text: no contract's caps meet all its exceptions."""
+    own = lambda at, n: exceptions.select("contract", "id", F.col(at).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(n).alias("c"))
+    placed = F.struct(F.col("end").alias("at"), (-F.col("position")).alias("p"), F.col("id").alias("cap"))
+    ends = caps.select("contract", F.lit(None).cast(exceptions.schema["id"].dataType).alias("id"), F.col("end").alias("at"), F.lit(0).alias("side"), placed.alias("c"))
+    before = Window.partitionBy("contract").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    left = own("start", ends.schema["c"].dataType).unionByName(ends).withColumn("c", F.max("c").over(before)).where("side = 1 and c is not null")
+    left = left.select("contract", F.col("id").alias("exception"), (F.col("at") - F.col("c.at")).alias("gap"), (-F.col("c.p")).alias("p"), "c.cap")
+    placed = F.struct(F.col("start").alias("at"), F.col("position").alias("p"), F.col("id").alias("cap"))
+    starts = caps.select("contract", F.lit(None).cast(exceptions.schema["id"].dataType).alias("id"), F.col("start").alias("at"), F.lit(0).alias("side"), placed.alias("c"))
+    after = Window.partitionBy("contract").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    right = own("end", starts.schema["c"].dataType).unionByName(starts).withColumn("c", F.min("c").over(after)).where("side = 1 and c is not null")
+    right = right.select("contract", F.col("id").alias("exception"), (F.col("c.at") - F.col("at")).alias("gap"), "c.p", "c.cap")
+    cells = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / cell)))
+    e, c = exceptions.withColumn("cell", cells).alias("e"), caps.withColumn("cell", cells).alias("c")
+    met = e.join(c, (F.col("e.contract") == F.col("c.contract")) & (F.col("e.cell") == F.col("c.cell"))).where("e.start < c.end and c.start < e.end")
+    over = met.select("e.contract", F.col("e.id").alias("exception"), F.lit(0).alias("gap"), F.col("c.position").alias("p"), F.col("c.id").alias("cap"))
+    every = left.unionByName(right).unionByName(over)
+    best = every.groupBy("contract", "exception").agg(F.min(F.struct("gap", "p", "cap")).alias("b")).select("contract", "exception", "b.cap", "b.gap")
     links = best.where(F.col("gap") <= window)
     return links, exceptions.join(links.select(F.col("contract"), F.col("exception").alias("id")), ["contract", "id"], "left_anti")
 

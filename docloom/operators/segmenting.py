@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import spread
 from docloom.functions.text import alnum
 
 #: Abbreviations whose point ends no sentence, kinds of layout items, and patterns for a sentence's end, an
@@ -210,7 +211,7 @@ def exploded(docs: DataFrame, f: Callable[[str], list[tuple]], schema: str, name
                     out.append((i, None, *([None] * len(names)), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=[id_col, "n", *names, "error"]).astype(object)
 
-    return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {kind}, n int, {schema}, error string")
+    return spread(docs.select(id_col, "text")).mapInPandas(run, f"{id_col} {kind}, n int, {schema}, error string")
 
 
 def chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:

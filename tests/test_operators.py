@@ -502,3 +502,23 @@ def test_stream_into_store(spark, tmp_path):
     sessions = streaming.call_sessions(stream, "t", "x").writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
     sessions.awaitTermination(120)
     assert sessions.exception() is None
+
+
+def test_nearest_brute(spark):
+    import random
+
+    rng = random.Random(0)
+    make = lambda n, p: [(c, f"{p}{c}{i}", s := rng.randrange(0, 400), s + rng.randrange(0, 30), i) for c in "ab" for i in range(n)]
+    e, c = make(40, "e"), make(25, "c")
+    gap = lambda x, y: max(0, x[2] - y[3], y[2] - x[3])
+    want = []
+    for x in e:
+        g, _, cap = min((gap(x, y), y[4], y[1]) for y in c if y[0] == x[0])
+        if g <= 12:
+            want.append((x[0], x[1], cap, g))
+    schema = "contract string, id string, start int, end int, position int"
+    for cell in (7, 4096):
+        links, left = clauses.nearest(spark.createDataFrame(e, schema), spark.createDataFrame(c, schema), 12, cell)
+        got = {(r.contract, r.exception): r for r in links.collect()}
+        assert {k: r.gap for k, r in got.items()} == {w[:2]: w[3] for w in want} and left.count() == len(e) - len(want)
+        assert all(got[w[:2]].cap == w[2] for w in want if w[3])
