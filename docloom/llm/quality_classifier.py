@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import spread
 from docloom.llm.common import Scratch, rows
 
 #: Labelled documents used at most, in the order of a hash of their ids.
@@ -125,7 +126,7 @@ def classify(docs: DataFrame, labels: DataFrame, pages: DataFrame, *, most_label
     scratch = scratch or Scratch(spark, "classifier")
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_good")).dropna().groupBy("_id").agg(F.min("_good").alias("_good"))
     sample = scratch.save(known.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled), "sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"))
     seen = described(texts.join(F.broadcast(sample), "_id"), ["_id", "_good"]).toPandas().sort_values("_id", kind="stable")
     x = np.stack(seen["x"].to_numpy()) if len(seen) else np.zeros((0, N_FEATURES))
     w = fit(x, seen["_good"].to_numpy(dtype=float))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions import spread
 from docloom.llm.common import LAST_ID, Scratch, rows, tasks
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -159,7 +160,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fps = np.fromiter((simhash(x, words) for (x,) in rows(b, "text")), dtype=np.uint64, count=b.num_rows)
             yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("key", T.LongType())])

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import spread
 from docloom.llm.common import rows
 
 #: Cuts a text into pre-tokens: a run of non-space with one space before it if there is one, or a run of spaces.
@@ -123,4 +124,4 @@ def token_counts(docs: DataFrame, ranks_file: str) -> DataFrame:
             columns = [pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())]
             yield pa.record_batch([b.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_pretokens long, n_tokens long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, n_bytes long, n_pretokens long, n_tokens long")

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import spread
 from docloom.llm.common import Scratch, rows
 
 TERM = re.compile(r"\w+")
@@ -108,7 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     sample = scratch.save(known.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(most), "sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(sample), "_id").select("_id", "_toxic", "text")
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("_id"), "text")).join(F.broadcast(sample), "_id").select("_id", "_toxic", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[int]] = {}
@@ -186,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LA
     """
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     run = scorer(learn(docs, labels, scratch, most_labelled, kept), ["doc_id"])
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id long, _score double")
+    scored = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))).mapInArrow(run, "doc_id long, _score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -201,4 +202,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, scratc
             with_text = pa.record_batch([*b.columns, b.column("text")], names=[*b.schema.names, "_text"])
             yield from run(iter([with_text]))
 
-    return docs.mapInArrow(whole, schema).where(F.col("_score") < least).drop("_score")
+    return spread(docs).mapInArrow(whole, schema).where(F.col("_score") < least).drop("_score")
