@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Columns that Spark numbers with 32 bits, where SQL alone would give 64.
+NARROW = {"identifier_tokens": "n", "exception_links": "gap", "call_dedup_exact": "seen"} | dict.fromkeys(
+    (
+        "dense_topk", "sparse_topk", "hybrid_rrf", "hybrid_rrf_scoped", "dense_floor", "span_search", "typed_constraint_rank", "property_boosted", "fuse_streams", "bounded_evidence",
+        "dense_only_search", "fuzzy_candidates", "route_functions_conditional", "route_functions_lift", "route_functions_pmi", "defense_links",
+    ),
+    "rank",
+)
+
+
 class Catalogue:
     """Named queries; add() registers one with its SQL, or with None where SQL can't express it."""
 
@@ -20,7 +30,8 @@ class Catalogue:
         def put(f: Callable) -> Callable:
             self.queries[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
             if sql:
-                self.sql[f.__name__] = sql
+                c = NARROW.get(f.__name__)
+                self.sql[f.__name__] = f"SELECT * REPLACE (CAST({c} AS INTEGER) AS {c}) FROM ({sql}) AS q" if c else sql
             return f
 
         return put

@@ -107,7 +107,7 @@ def kg_upsert_merge(t):
     return store.upsert(n, a.unionAll(b).unionAll(c).unionAll(d), ["n_nationkey"], "seq")
 
 
-@C.add("SELECT 'IN' AS edge_type, n_nationkey AS src, n_regionkey AS dst, CASE WHEN n_nationkey < 10 THEN 2.0 ELSE 0.0 END AS weight FROM nation UNION ALL SELECT 'NEAR', n_nationkey, n_nationkey + 1, 1.0 FROM nation WHERE n_nationkey < 5")
+@C.add("SELECT 'IN' AS edge_type, n_nationkey AS src, n_regionkey AS dst, CASE WHEN n_nationkey < 10 THEN CAST(2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS weight FROM nation UNION ALL SELECT 'NEAR', n_nationkey, n_nationkey + 1, CAST(1 AS DOUBLE) FROM nation WHERE n_nationkey < 5")
 def ensure_edges_last_wins(t):
     n = t("nation")
     now = n.select(F.lit("IN").alias("edge_type"), F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"), F.lit(0.0).alias("weight"))
