@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,12 +16,10 @@ from docloom.functions import spread
 from docloom.llm.common import Scratch, rows
 
 TERM = re.compile(r"\w+")
-#: Buckets of the term hash, lengths of word beginnings that are terms too, terms kept for the model.
-BUCKETS, PREFIXES, KEPT = 1 << 20, (4, 5, 6), 4096
+#: Buckets of the term hash, lengths of word beginnings that are terms too.
+BUCKETS, PREFIXES = 1 << 20, (4, 5, 6)
 #: Labelled documents used at most, in the order of a hash of their ids: bounds what fitting costs and collects.
 MOST_LABELLED = 20_000
-#: Least chi-square of a kept term, and least number of labelled documents that have it.
-EVIDENT, LEAST_DOCS = 30.0, 4
 MEMO = 1_000_000
 
 
@@ -38,75 +35,118 @@ def words_of(text: str | None) -> set[str]:
 
 @dataclass
 class Machine:
-    """score = sigmoid(bias + sum of weights + sum over pairs of <v_i, v_j>) over the distinct kept terms of a text."""
+    """score = sigmoid(bias + sum of weights + sum over pairs of <v_i, v_j>) over the distinct kept terms of a text.
+
+    place, where given, has the position of each hashed term, or -1: terms that the same training rows have share one.
+    """
 
     kept: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    place: np.ndarray | None = None
 
     def margin(self, at: np.ndarray) -> float:
         v = self.factors[at]
         total = v.sum(axis=0)
         return float(self.bias + self.weights[at].sum() + 0.5 * (total @ total - (v * v).sum()))
 
+    def places(self, terms: list[int]) -> tuple[int, ...]:
+        return tuple(int(i) for i in self.place[terms] if i >= 0)
+
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int = 8, rounds: int = 30, rate: float = 0.1, batch: int = 256, shrink: float = 1e-4, hide: float = 0.3, seed: int = 5) -> Machine:
+def evidence(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """For each term, in a of n1 toxic and b of n0 other rows, the probability that the classes differ in it.
+
+    The likelihood ratio of two rates to one, with a penalty for the rate fitted, against the share of such terms among
+    all, which is estimated from the terms themselves: nothing here is set for a number of rows.
+    """
+
+    def part(x, expected):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    n, c = n1 + n0, a + b
+    ratio = part(a, c * n1 / n) + part(b, c * n0 / n) + part(n1 - a, (n - c) * n1 / n) + part(n0 - b, (n - c) * n0 / n)
+    ratio -= 0.5 * np.log1p(np.minimum(c, n - c))
+    share = 1 / max(len(a), 2)
+    for _ in range(50):
+        differs = sigmoid(np.log(share / (1 - share)) + ratio)
+        share = min(max((differs.sum() + 1) / (len(a) + 2 * len(a) ** 0.5), 1e-9), 0.5)
+    return differs
+
+
+def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int = 8, rounds: int = 30, rate: float = 0.1, batch: int = 256, shrink: float = 1e-4, hide: float = 0.3, seed: int = 5, scale: np.ndarray | None = None, decay: float | None = None, start: float = 0.02) -> Machine:
     """Logistic loss, minibatch AdaGrad. docs: positions in kept of each document's terms; y: 0 or 1. Deterministic.
 
     Every other round hides a share of each document's terms, so that one telling term suffices where training texts
-    have many.
+    have many. A weight moves by scale (all 1 if None). decay shrinks the factors (as shrink if None), which begin near `start`.
     """
     rng = np.random.default_rng(seed)
     k, n = len(kept), len(docs)
     share = min(max(float(y.mean()) if n else 0.0, 1e-3), 1 - 1e-3)
-    bias, w, v = float(np.log(share / (1 - share))), np.zeros(k), rng.normal(0, 0.02, (k, rank))
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(k, dtype=np.float32), rng.normal(0, start, (k, rank)).astype(np.float32)
     if not k or not n or y.min() == y.max():
         return Machine(kept, bias if n else -4.0, w, np.zeros((k, rank)))
-    gb, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, rank), 1e-8)
-    lengths = np.array([len(d) for d in docs])
+    scale, decay = np.ones(k, dtype=np.float32) if scale is None else scale.astype(np.float32), shrink if decay is None else decay
+    gb, gw, gv = 1e-8, np.full(k, 1e-8, dtype=np.float32), np.full((k, rank), 1e-8, dtype=np.float32)
+    order = rng.permutation(n)
+    parts = []
+    for a in range(0, n, batch):
+        part = order[a : a + batch]
+        cols = np.concatenate([docs[i] for i in part])
+        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(docs[i]) for i in part])
+        by = np.argsort(cols, kind="stable").astype(np.int32)
+        new = np.diff(cols[by], prepend=-1) != 0
+        at = np.empty(len(cols), dtype=np.int32)
+        at[by] = np.cumsum(new) - 1
+        parts.append((y[part], cols[by][new], at, by, np.flatnonzero(new), row, np.flatnonzero(np.diff(row, prepend=-1))))
     for turn in range(rounds):
-        order = rng.permutation(n)
-        for a in range(0, n, batch):
-            part = order[a : a + batch]
-            cols = np.concatenate([docs[i] for i in part])
-            row = np.repeat(np.arange(len(part)), lengths[part])
-            if turn % 2:
-                seen = rng.random(len(cols)) >= hide
-                cols, row = cols[seen], row[seen]
-            sums = np.stack([np.bincount(row, v[cols, f], len(part)) for f in range(rank)], axis=1)
-            squares = np.bincount(row, (v[cols] ** 2).sum(axis=1), len(part))
-            z = bias + np.bincount(row, w[cols], len(part)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            err = (sigmoid(z) - y[part]) / len(part)
-            e = err[row]
-            d_w = np.bincount(cols, e, k) + shrink * w
-            step = e[:, None] * (sums[row] - v[cols])
-            d_v = np.stack([np.bincount(cols, step[:, f], k) for f in range(rank)], axis=1) + shrink * v
-            d_b = err.sum()
+        for p in rng.permutation(len(parts)):
+            want, u, at, by, tops, row, heads = parts[p]
+            if not len(u):
+                continue
+            own = v[u]
+            squares = (own**2).sum(axis=1)
+            free = scale[u]
+            x = np.column_stack([w[u] * free, squares, own]).take(at, axis=0)
+            seen = rng.random(len(at), dtype=np.float32) >= hide if turn % 2 else None
+            if seen is not None:
+                x *= seen[:, None]
+            sums = np.zeros((len(want), rank + 2), dtype=np.float32)
+            sums[row[heads]] = np.add.reduceat(x, heads, axis=0)
+            z = bias + sums[:, 0] + 0.5 * ((sums[:, 2:] ** 2).sum(axis=1) - sums[:, 1])
+            err = ((sigmoid(z) - want) / len(want)).astype(np.float32)
+            e = np.column_stack([err, sums[:, 2:] * err[:, None]]).take(row[by], axis=0)
+            if seen is not None:
+                e *= seen[by][:, None]
+            got = np.add.reduceat(e, tops, axis=0)
+            d_w = got[:, 0] * free + shrink * w[u]
+            d_v = got[:, 1:] - got[:, :1] * own + decay * own
+            d_b = float(err.sum())
             gb += d_b * d_b
-            gw += d_w * d_w
-            gv += d_v * d_v
+            gw[u] += d_w * d_w
+            gv[u] += d_v * d_v
             bias -= rate * d_b / np.sqrt(gb)
-            w -= rate * d_w / np.sqrt(gw)
-            v -= 0.2 * rate * d_v / np.sqrt(gv)
-    return Machine(kept, float(bias), w, v)
+            w[u] -= rate * d_w / np.sqrt(gw[u])
+            v[u] -= 0.2 * rate * d_v / np.sqrt(gv[u])
+    return Machine(kept, float(bias), w * scale, v)
 
 
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST_LABELLED, kept: int = KEPT) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST_LABELLED) -> Machine:
     """A machine from labels (doc_id, toxic) on rows that aren't held out, `most` at most.
 
-    Rows with null doc_id or label are left out; of several labels of an id the largest counts. Terms are counted by
-    class on the executors; the `kept` most telling come to the driver, then the documents as positions among them.
+    Rows with null doc_id or label are left out; of several labels of an id the largest counts. Every term takes part.
+    Terms are counted by class on the executors, with a sum over their rows that tells which have the same rows: those
+    share a position. The driver gets the terms, then the rows as positions.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     sample = scratch.save(known.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(most), "sample")
     texts = spread(docs.select(F.col("doc_id").cast("long").alias("_id"), "text")).join(F.broadcast(sample), "_id").select("_id", "_toxic", "text")
@@ -127,36 +167,45 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
             yield pa.record_batch([b.column("_id"), b.column("_toxic"), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_toxic", "terms"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_, without = Counter(), Counter()
+        sums = np.zeros((3, BUCKETS), dtype=np.int64)
         for b in batches:
-            for y, t in rows(b, "_toxic", "terms"):
-                (with_ if y else without).update(t)
-        keys = list({**with_, **without})
-        yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([with_[x] for x in keys], pa.int64()), pa.array([without[x] for x in keys], pa.int64())], names=["term", "a", "b"])
+            for i, y, t in rows(b, "_id", "_toxic", "terms"):
+                t = np.array(t, dtype=np.int64)
+                sums[0 if y else 1, t] += 1
+                sums[2, t] += xxhash.xxh64_intdigest(t.tobytes(), i % 2**64) >> 22
+        keys = np.flatnonzero(sums[0] + sums[1])
+        yield pa.record_batch([pa.array(keys, pa.int32()), *(pa.array(x[keys]) for x in sums)], names=["term", "a", "b", "same"])
 
     seen = scratch.save(texts.mapInArrow(hashed, "_id long, _toxic int, terms array<int>"), "terms")
     n1, n0 = (seen.where(f"_toxic = {y}").count() for y in (1, 0))
-    sums = seen.mapInArrow(counted, "term int, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    n = float(n1 + n0)
-    odd = F.col("a") * n0 - F.col("b") * n1
-    chi = n * odd * odd / (F.lit(float(n1) * n0) * (F.col("a") + F.col("b")) * (F.lit(n) - F.col("a") - F.col("b")))
-    best = sums.where((F.col("a") + F.col("b") < n) & (F.col("a") + F.col("b") >= LEAST_DOCS)).where(chi > EVIDENT).orderBy(chi.desc(), "term").limit(kept) if n1 and n0 else sums.where("false")
-    terms = np.array(sorted(r.term for r in best.select("term").collect()), dtype=np.int64)
-    place = {int(t): i for i, t in enumerate(terms)}
+    sums = seen.mapInArrow(counted, "term int, a long, b long, same long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("a", "b", "same"))).toArrow()
+    term, a, b, same = (sums.column(x).to_numpy() for x in ("term", "a", "b", "same"))
+    order = np.lexsort((term, same, b, a))
+    term, a, b, same = term[order], a[order], b[order], same[order]
+    new = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0) | (np.diff(same, prepend=-1) != 0)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[term] = np.cumsum(new) - 1
+    term, a, b = term[new], a[new].astype(float), b[new].astype(float)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[place[t] for t in ts if t in place] for (ts,) in rows(b, "terms")]
-            yield pa.record_batch([b.column("_id"), b.column("_toxic"), pa.array(out, pa.list_(pa.int32()))], names=["_id", "_toxic", "at"])
+            out = [np.unique(place[np.array(ts, dtype=np.int64)]).tobytes() for (ts,) in rows(b, "terms")]
+            yield pa.record_batch([b.column("_id"), b.column("_toxic"), pa.array(out, pa.binary())], names=["_id", "_toxic", "at"])
 
-    got = seen.mapInArrow(placed, "_id long, _toxic int, at array<int>").toPandas().sort_values("_id", kind="stable")
-    at = [np.array(x, dtype=np.int64) for x in got["at"]]
-    return fit(terms, at, got["_toxic"].to_numpy(dtype=float))
+    got = seen.mapInArrow(placed, "_id long, _toxic int, at binary").toArrow().sort_by([("_id", "ascending"), ("at", "ascending")])
+    at = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("at")]
+    y = got.column("_toxic").to_numpy().astype(float)
+    if not n1 or not n0:
+        model = fit(term, at, y)
+    else:
+        length = max(sum(map(len, at)) / len(at), 1.0)
+        model = fit(term, at, y, rate=0.2, batch=min(256, max(16, len(at) // 16)), scale=evidence(a, b, n1, n0), decay=length / len(at), start=min(0.02, 0.1 / length**0.5))
+    model.place = place
+    return model
 
 
 def scorer(model: Machine, keep: list[str]):
     """mapInArrow function: columns `keep` and the score of column text."""
-    place = {int(t): i for i, t in enumerate(model.kept)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
@@ -169,7 +218,7 @@ def scorer(model: Machine, keep: list[str]):
                     if hit is None:
                         if len(memo) > MEMO:
                             memo.clear()
-                        hit = memo[w] = tuple(place[t] for t in terms_of(w) if t in place)
+                        hit = memo[w] = model.places(terms_of(w))
                     if hit:
                         at.update(hit)
                 scores.append(float(sigmoid(model.margin(np.array(sorted(at), dtype=np.int64)))))
@@ -178,7 +227,7 @@ def scorer(model: Machine, keep: list[str]):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABELLED, kept: int = KEPT, scratch: Scratch | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABELLED, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text; more are ignored).
 
     The text alone is scored, whole: its distinct words and their first letters, hashed. Learned from labels
@@ -186,7 +235,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LA
     Repeated rows score alike; a null doc_id isn't held out. Without labels of both classes every score is the same.
     """
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
-    run = scorer(learn(docs, labels, scratch, most_labelled, kept), ["doc_id"])
+    run = scorer(learn(docs, labels, scratch, most_labelled), ["doc_id"])
     scored = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))).mapInArrow(run, "doc_id long, _score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 

@@ -166,6 +166,16 @@ def test_machine_learns_a_pair():
     assert right > 0.95
 
 
+@pytest.mark.parametrize("scale,found", [("0.001", 1.0), ("0.01", 0.6)])
+def test_toxicity_held_out_of_few_labels(spark, sf, scale, found):
+    base = sf.replace("0.001", scale)
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    hit = {h: [r.predicted for r in got if r.toxic == 1 and r.held_out == h] for h in (True, False)}
+    assert sum(hit[True]) / len(hit[True]) >= found and sum(hit[False]) / len(hit[False]) >= 0.6
+    assert not any(r.predicted for r in got if r.toxic == 0)
+
+
 def test_margin_by_hand():
     m = toxicity.Machine(np.arange(3), 0.5, np.array([1.0, -2.0, 0.25]), np.array([[1.0, 0], [2.0, 1.0], [0, 3.0]]))
     assert m.margin(np.array([0, 1, 2])) == pytest.approx(0.5 - 0.75 + 2.0 + 0.0 + 3.0)
