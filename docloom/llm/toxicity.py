@@ -83,7 +83,8 @@ def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int =
     """Logistic loss, minibatch AdaGrad. docs: positions in kept of each document's terms; y: 0 or 1. Deterministic.
 
     Every other round hides a share of each document's terms, so that one telling term suffices where training texts
-    have many. A weight moves by scale (all 1 if None). decay shrinks the factors (as shrink if None), which begin near `start`.
+    have many. A weight moves by scale (all 1 if None) or by its term's squared factors, if they are larger: what tells
+    only in pairs gets a weight too. decay shrinks the factors (as shrink if None), which begin near `start`.
     """
     rng = np.random.default_rng(seed)
     k, n = len(kept), len(docs)
@@ -111,7 +112,7 @@ def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int =
                 continue
             own = v[u]
             squares = (own**2).sum(axis=1)
-            free = scale[u]
+            free = np.maximum(scale[u], np.minimum(squares, 1))
             x = np.column_stack([w[u] * free, squares, own]).take(at, axis=0)
             seen = rng.random(len(at), dtype=np.float32) >= hide if turn % 2 else None
             if seen is not None:
@@ -133,7 +134,7 @@ def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int =
             bias -= rate * d_b / np.sqrt(gb)
             w[u] -= rate * d_w / np.sqrt(gw[u])
             v[u] -= 0.2 * rate * d_v / np.sqrt(gv[u])
-    return Machine(kept, float(bias), w * scale, v)
+    return Machine(kept, float(bias), w * np.maximum(scale, np.minimum((v**2).sum(axis=1), 1)), v)
 
 
 def held_out(doc_id) -> F.Column:

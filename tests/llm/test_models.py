@@ -176,6 +176,21 @@ def test_toxicity_held_out_of_few_labels(spark, sf, scale, found):
     assert not any(r.predicted for r in got if r.toxic == 0)
 
 
+@pytest.mark.parametrize("matched", [True, False])
+def test_toxicity_of_pairs_only(spark, matched):
+    """No word is commoner in toxic texts: they hold an insult with its own group, or one of two words without the other."""
+    rng = np.random.default_rng(0)
+    docs, labels = [], []
+    for i in range(3000):
+        a, b = (int(x) for x in rng.integers(0, 2, 2))
+        said = [("insulta", "insultb")[a], ("groupa", "groupb")[b]] if matched else ["ambiguous"] * a + ["mention"] * b
+        docs.append((i, " ".join(said + [f"n{x}" for x in rng.integers(0, 300, 10)])))
+        labels.append((i, int((a == b) if matched else (a != b))))
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    right = np.mean([r.predicted == labels[r.doc_id][1] for r in got])
+    assert len(got) > 400 and right > 0.95
+
+
 def test_margin_by_hand():
     m = toxicity.Machine(np.arange(3), 0.5, np.array([1.0, -2.0, 0.25]), np.array([[1.0, 0], [2.0, 1.0], [0, 3.0]]))
     assert m.margin(np.array([0, 1, 2])) == pytest.approx(0.5 - 0.75 + 2.0 + 0.0 + 3.0)
