@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import spread
-from docloom.llm.common import LAST_ID, Scratch, rows, tasks
+from docloom.llm.common import Scratch, rows, tasks
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints compared directly when they share a key; larger buckets are split by a second family of masks.
@@ -237,23 +237,44 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS
     Null or empty text and text without words: fingerprint zero, linked like any other. Repeated rows: each has its
     row in the result. A null doc_id counts as the largest and is null as a component only if nothing else is in it.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "simhash")
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, words), "fingerprints")
-    reps = scratch.save(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("rep")), "reps")
-    found = scratch.save(components(links(reps, scratch, radius, bucket), scratch), "components")
-    of = scratch.save(reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
+    return fps.join(classes(fps, scratch, radius, bucket), "fp").select("doc_id", "fp", "component_id")
+
+
+def classes(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """fp, component, component_id of each fingerprint of fps (doc_id, fp): component is the component's smallest
+    fingerprint, component_id its smallest doc_id, null if it has none. Nodes of the graph are fingerprints, so rows
+    without an id are linked by their texts alone."""
+    reps = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
+    found = scratch.save(components(links(reps.select("fp", F.col("fp").alias("rep")), scratch, radius, bucket), scratch), "components")
     scratch.drop("links-1", "links-2")
-    return fps.join(of, "fp").select("doc_id", "fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"))
+    members = scratch.save(reps.join(found, reps.fp == found.node).select("fp", "first", "component"), "members")
+    least = scratch.save(members.groupBy("component").agg(F.min("first").alias("component_id")), "least")
+    alone = reps.join(found, reps.fp == found.node, "left_anti").select("fp", F.col("fp").alias("component"), F.col("first").alias("component_id"))
+    return scratch.save(members.join(least, "component").select("fp", "component", "component_id").union(alone), "classes")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs without those of a component other than one: the row of its smallest doc_id, and of repeated
-    rows of that id one, that with the smallest hash over all columns. Columns and their order stay."""
-    scratch = options.setdefault("scratch", Scratch(docs.sparkSession, "simhash"))
-    key = F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
-    groups = near_duplicates(docs, **options)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_first")).distinct()
+    rows of that id one, that with the smallest hash over all columns. Of a component without any doc_id it is the row
+    with the smallest hash. Columns and their order stay."""
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
+    fps = scratch.save(fingerprints(docs, words), "fingerprints")
+    of = classes(fps, scratch, radius, bucket)
+    first = fps.join(of, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     first = scratch.save(first, "first")
-    turn = F.row_number().over(Window.partitionBy("_first").orderBy(F.xxhash64(*docs.columns)))
-    return docs.withColumn("_first", key).join(first, "_first").withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    names = docs.columns
+    by_hash = F.xxhash64(*names)
+    with_id = docs.join(first, F.col("doc_id") == F.col("_first")).withColumn("_turn", F.row_number().over(Window.partitionBy("_first").orderBy(by_hash)))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((simhash(x, words) for (x,) in rows(b, "_bytes")), dtype=np.uint64, count=b.num_rows)
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(fps.view(np.int64))], names=[*names, "_fp"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_fp long"])
+    without = spread(docs.where("doc_id is null").withColumn("_bytes", F.col("text").cast("binary"))).mapInArrow(marked, schema)
+    nameless = of.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
+    without = without.join(nameless, "_fp").withColumn("_turn", F.row_number().over(Window.partitionBy("_component").orderBy(by_hash)))
+    return with_id.where("_turn = 1").select(*names).union(without.where("_turn = 1").select(*names))

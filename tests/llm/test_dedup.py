@@ -140,6 +140,21 @@ def test_keep_first(odd):
     assert out.columns == odd.columns and len(ids) == len(set(ids)) and 3 in ids and 4 not in ids and ids.count(6) == 1 and 8 not in ids
 
 
+def test_null_ids_are_told_apart_by_text(spark):
+    """Unrelated texts without an id join nothing, also where one is near document 5 and another near document 9."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(200)) for c in "abcdef"]
+    five, nine, *others = texts
+    rows = [(5, five), (9, nine), (None, five), (None, nine), (None, others[0]), (None, others[1]), (None, others[1]), (None, others[2]), (12, others[3])]
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    ids = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup.near_duplicates(df).collect()}
+    fp = lambda t: simhash_dedup.signed(brute_simhash(t))
+    assert ids == {(i, fp(t)): {five: 5, nine: 9, others[3]: 12}.get(t) for i, t in rows}
+    out = simhash_dedup.keep_first(df)
+    want = [(5, five), (9, nine), (None, others[0]), (None, others[1]), (None, others[2]), (12, others[3])]
+    assert out.columns == df.columns and sorted(rows_of(out), key=str) == sorted(want, key=str)
+
+
 def brute_repeats(rows, length=50):
     num = lambda i: LAST_ID if i is None else i
     first = {}
