@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,17 +100,19 @@ def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int =
     for a in range(0, n, batch):
         part = order[a : a + batch]
         cols = np.concatenate([docs[i] for i in part])
-        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(docs[i]) for i in part])
+        sizes = np.array([len(docs[i]) for i in part])
         by = np.argsort(cols, kind="stable").astype(np.int32)
         new = np.diff(cols[by], prepend=-1) != 0
         at = np.empty(len(cols), dtype=np.int32)
         at[by] = np.cumsum(new) - 1
-        parts.append((y[part], cols[by][new], at, by, np.flatnonzero(new), row, np.flatnonzero(np.diff(row, prepend=-1))))
+        parts.append((y[part], cols[by][new], at, by, np.flatnonzero(new), sizes))
     for turn in range(rounds):
         for p in rng.permutation(len(parts)):
-            want, u, at, by, tops, row, heads = parts[p]
+            want, u, at, by, tops, sizes = parts[p]
             if not len(u):
                 continue
+            row = np.repeat(np.arange(len(want)), sizes)
+            heads = np.flatnonzero(np.diff(row, prepend=-1))
             own = v[u]
             squares = (own**2).sum(axis=1)
             free = np.maximum(scale[u], np.minimum(squares, 1))
@@ -146,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
 
     Rows with null doc_id or label are left out; of several labels of an id the largest counts. Every term takes part.
     Terms are counted by class on the executors, with a sum over their rows that tells which have the same rows: those
-    share a position. The driver gets the terms, then the rows as positions.
+    share a position. The driver gets the terms, then the rows as positions, packed.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna().groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     sample = scratch.save(known.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(most), "sample")
@@ -190,11 +193,11 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.unique(place[np.array(ts, dtype=np.int64)]).tobytes() for (ts,) in rows(b, "terms")]
+            out = [zlib.compress(np.diff(np.unique(place[np.array(ts, dtype=np.int64)]), prepend=0).astype("<i4").tobytes(), 1) for (ts,) in rows(b, "terms")]
             yield pa.record_batch([b.column("_id"), b.column("_toxic"), pa.array(out, pa.binary())], names=["_id", "_toxic", "at"])
 
     got = seen.mapInArrow(placed, "_id long, _toxic int, at binary").toArrow().sort_by([("_id", "ascending"), ("at", "ascending")])
-    at = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("at")]
+    at = [np.cumsum(np.frombuffer(zlib.decompress(x.as_py()), dtype="<i4"), dtype=np.int32) for x in got.column("at")]
     y = got.column("_toxic").to_numpy().astype(float)
     if not n1 or not n0:
         model = fit(term, at, y)
