@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from docloom.functions import places, text
@@ -118,7 +120,7 @@ def embed_documents(t):
 @C.add()
 def reduce_notes(t):
     n = t("conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), "text")
-    return reduced(n, lambda texts: [x[:50] for x in texts], 3)
+    return reduced(n, lambda texts: [hashlib.sha256(x.encode()).hexdigest() for x in texts], 3)
 
 
 @C.add()

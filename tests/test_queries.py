@@ -48,3 +48,13 @@ def test_filters_reach_the_scan(spark, sf):
     plan = QUERIES["kg_read_range_contains"](spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(p_" in plan and "p_brand" not in plan.split("ReadSchema")[1]
     assert "LocalTableScan <empty>" in QUERIES["kg_scope_to_nothing"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_reduced_notes_depend_on_every_note(spark):
+    long = "a note of more than fifty characters, which a prefix of the group would stop in"
+    rows = [(1, i, t, 0) for i, t in enumerate([long] * 5)] + [(2, i, t, 0) for i, t in enumerate([long] * 4 + [long + " other"])]
+    notes = spark.createDataFrame(rows, "conv_id long, turn long, text string, role long")
+    from docloom.plans import answering
+
+    got = [r[1] for r in answering.reduce_notes(lambda name: notes).collect()]
+    assert len(set(got)) == 2
