@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docloom.llm import line_dedup, simhash_dedup, substring_dedup
 from docloom.llm.common import LAST_ID
@@ -37,12 +38,56 @@ def same(df, want, *names):
     assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=str) == want
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (7, 3)])
-def test_lines_odd(odd, batches, fanout):
-    got = line_dedup.line_digests(odd, batches=batches, fanout=fanout)
+@pytest.mark.parametrize("batches,fanout,hot", [(1, 2, 10_000), (4, 2, 1), (7, 3, 5)])
+def test_lines_odd(odd, batches, fanout, hot):
+    got = line_dedup.line_digests(odd, batches=batches, fanout=fanout, hot=hot)
     same(got, brute_lines(rows_of(odd)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+SHARED = "A shared line long enough"
+REPEATED_IDS = [
+    (1, SHARED), (5, f"{SHARED}\nsecond line of the one"), (5, "unique zzz line number one\nsecond line of the other"), (5, f"{SHARED}\nsecond line of the one"),
+    (None, f"{SHARED}\nno id and a line of its own"), (None, "precious only copy here\nno id and a line of its own"), (None, None), (7, "second line of the other\nsecond line of the one"),
+]
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_rows_that_share_an_id_keep_their_own_lines(spark, hot):
+    df = spark.createDataFrame(REPEATED_IDS, "doc_id long, text string")
+    same(line_dedup.line_digests(df, hot=hot), brute_lines(REPEATED_IDS), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    kept = [x for r in line_dedup.drop_repeated_lines(df, hot=hot).collect() for x in r.text.split("\n")]
+    for line in ("unique zzz line number one", "precious only copy here"):
+        assert kept.count(line) == 1
+    assert kept.count(SHARED) == 1 and kept.count("no id and a line of its own") == 2
+
+
+def test_lines_of_random_texts(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(30)]), "\n".join(f"{'  ' * rng.randint(0, 1)}Line number {rng.randint(0, 60)} of these" for _ in range(rng.randint(0, 12)))) for _ in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 20):
+        same(line_dedup.line_digests(df, batches=6, fanout=2, hot=hot), brute_lines(rows), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    """No exchange and no sort below the joins of a batch's keys with the runs."""
+    from docloom.llm.common import Scratch, holding
+
+    scratch = Scratch(spark, "test")
+    index = line_dedup.LineIndex(scratch, fanout=3)
+    lines = lambda a, b: scratch.save(spark.range(a, b).selectExpr("id", "id as row", "0 as pos", "id % 50 as h1", "id % 50 * 7 as h2"), f"lines-{a}")
+    assert index.add(lines(0, 30)).count() == 0
+    assert index.add(lines(30, 60)).count() == 10
+    keys = scratch.save_sorted(lines(40, 70).selectExpr("id", "id as h1", "id * 7 as h2").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")), "keys", index.buckets, "h1", "h2")
+    with holding(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), holding(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
+        for df in (index.unseen(keys), index.losing(keys)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == len(index.runs()) == 2 and "Exchange" not in plan and "Sort [" not in plan
+        assert sorted(r.h1 for r in index.unseen(keys).collect()) == list(range(50, 70))
+    assert index.add(lines(60, 90)).count() == 30 and len(index.runs()) == 1 and index.levels[1]
+    scratch.clear()
+
+
 def test_lines_empty(none):
     assert line_dedup.line_digests(none).count() == 0
     assert line_dedup.drop_repeated_lines(none).count() == 0
