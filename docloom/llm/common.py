@@ -132,6 +132,13 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """id and row of a document: rows that repeat an id, or have none, are told apart by a hash of id and text. Rows that
+    are equal in both have one key; what is decided on id and text alone is the same for them."""
+    id_ = F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
+    return id_, F.xxhash64(id_, F.coalesce(text, F.lit("")))
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions for a shuffle whose partition numbers matter."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import LAST_ID, SPACES, Scratch, ascii_lower, holding, rows, tasks, whole_row
+from docloom.llm.common import LAST_ID, SPACES, Scratch, ascii_lower, holding, row_key, rows, tasks, whole_row
 
 LEAST = 10
 #: Runs of a level that are merged into one of the next.
@@ -27,13 +27,6 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
-    """id and row of a document: rows that repeat an id, or have none, are told apart by a hash of id and text. Those that
-    are equal in both lose the same lines, so they may share a key."""
-    id_ = F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
-    return id_, F.xxhash64(id_, F.coalesce(text, F.lit("")))
-
-
 def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """id, row, pos, h1, h2 of each line whose key has at least `least` code points; 128 bits of hash stand for the key."""
     id_, row = row_key(F.col("doc_id"), F.col("text"))

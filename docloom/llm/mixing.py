@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, Scratch
+from docloom.llm.common import WORD, Scratch, whole_row
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -95,7 +95,7 @@ def copies(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as copies() says, with all their columns.
+    """The rows of docs, each as often as copies() says, with all their columns, whatever their names. No rows: no rows.
 
     The copies follow from doc_id, source and the source's rate and seed alone, so they are computed on the row
     itself from the table of sources; texts are not shuffled.
@@ -103,7 +103,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     scratch = options.pop("scratch", None) or Scratch(spark, "mixing")
     copies(docs, scratch=scratch, **options)
-    chosen = spark.read.parquet(scratch.path("chosen")).select(*(F.col(c).alias(f"_mix_{c}") for c in ("of", "source_size", "target", "seed")))
-    n = times(rate_of("_mix_target", "_mix_source_size"), draw(F.col("doc_id"), F.col("_mix_seed"))).cast("int")
-    out = docs.join(chosen, F.col("source").eqNullSafe(F.col("_mix_of"))).withColumn("_mix_n", n).where("_mix_n > 0")
-    return out.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+    chosen = spark.read.parquet(scratch.path("chosen"))
+    n = times(rate_of("target", "source_size"), draw(F.col("doc_id"), F.col("seed"))).cast("int")
+    rows = docs.select(whole_row(docs).alias("kept"), "doc_id", "source").join(chosen, F.col("source").eqNullSafe(F.col("of")))
+    taken = rows.select("kept", n.alias("n")).where("n > 0")
+    return taken.select("kept", F.explode(F.sequence(F.lit(1), F.col("n")))).select("kept.*")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import spread
-from docloom.llm.common import Scratch, rows, tasks
+from docloom.llm.common import Scratch, row_key, rows, tasks, whole_row
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints compared directly when they share a key; larger buckets are split by a second family of masks.
@@ -152,15 +153,16 @@ def linker(radius: int, bucket: int | None) -> Callable:
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of each row of docs; null or empty text: 0."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The longs `keep` and fp (the 64 bits as a long) of each row of docs; null or empty text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash(x, words) for (x,) in rows(b, "text")), dtype=np.uint64, count=b.num_rows)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, "doc_id long, fp long")
+    some = docs.select(*(F.col(c).cast("long").alias(c) for c in keep), F.col("text").cast("binary").alias("text"))
+    return spread(some).mapInArrow(run, ", ".join(f"{c} long" for c in (*keep, "fp")))
 
 
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("key", T.LongType())])
@@ -256,25 +258,17 @@ def classes(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket: int
 
 
 def keep_first(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs without those of a component other than one: the row of its smallest doc_id, and of repeated
-    rows of that id one, that with the smallest hash over all columns. Of a component without any doc_id it is the row
-    with the smallest hash. Columns and their order stay."""
+    """One row of docs for each component: that of its smallest doc_id, of different texts of that id the one whose hash
+    is smallest, and of rows equal in both the one with the smallest hash over its other columns (maps and variants, which
+    have no hash, left out). Rows without a doc_id come after all others and are told apart by their texts. Columns,
+    their order and their values stay, whatever their names; no rows give no rows."""
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    fps = scratch.save(fingerprints(docs, words), "fingerprints")
+    id_, row = row_key(F.col("doc_id"), F.col("text"))
+    fps = scratch.save(fingerprints(docs.select(id_.alias("id"), row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), words, ("id", "row", "doc_id")), "fingerprints")
     of = classes(fps, scratch, radius, bucket)
-    first = fps.join(of, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    first = scratch.save(first, "first")
-    names = docs.columns
-    by_hash = F.xxhash64(*names)
-    with_id = docs.join(first, F.col("doc_id") == F.col("_first")).withColumn("_turn", F.row_number().over(Window.partitionBy("_first").orderBy(by_hash)))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((simhash(x, words) for (x,) in rows(b, "_bytes")), dtype=np.uint64, count=b.num_rows)
-            yield pa.record_batch([*(b.column(c) for c in names), pa.array(fps.view(np.int64))], names=[*names, "_fp"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_fp long"])
-    without = spread(docs.where("doc_id is null").withColumn("_bytes", F.col("text").cast("binary"))).mapInArrow(marked, schema)
-    nameless = of.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
-    without = without.join(nameless, "_fp").withColumn("_turn", F.row_number().over(Window.partitionBy("_component").orderBy(by_hash)))
-    return with_id.where("_turn = 1").select(*names).union(without.where("_turn = 1").select(*names))
+    best = fps.groupBy("fp").agg(F.min(F.struct("id", "row")).alias("best")).join(of.select("fp", "component"), "fp")
+    first = scratch.save(best.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.row"), "first")
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())))
+    rows_ = docs.select(whole_row(docs).alias("kept"), id_.alias("id"), row.alias("row"), hashed.alias("by"))
+    one = rows_.withColumn("turn", F.row_number().over(Window.partitionBy("id", "row").orderBy("by"))).where("turn = 1")
+    return one.join(first, ["id", "row"], "left_semi").select("kept.*")

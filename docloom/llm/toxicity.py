@@ -12,9 +12,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import spread
-from docloom.llm.common import Scratch, rows
+from docloom.llm.common import Scratch, rows, whole_row
 
 TERM = re.compile(r"\w+")
 #: Buckets of the term hash, lengths of word beginnings that are terms too.
@@ -215,7 +216,7 @@ def scorer(model: Machine, keep: list[str]):
         memo: dict[str, tuple[int, ...]] = {}
         for b in batches:
             scores = []
-            for (text,) in rows(b, "_text"):
+            for (text,) in rows(b, "text"):
                 at: set[int] = set()
                 for w in words_of(text):
                     hit = memo.get(w)
@@ -226,7 +227,7 @@ def scorer(model: Machine, keep: list[str]):
                     if hit:
                         at.update(hit)
                 scores.append(float(sigmoid(model.margin(np.array(sorted(at), dtype=np.int64)))))
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "_score"])
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     return run
 
@@ -240,19 +241,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LA
     """
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     run = scorer(learn(docs, labels, scratch, most_labelled), ["doc_id"])
-    scored = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))).mapInArrow(run, "doc_id long, _score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of docs whose text scores below `least`, as they are."""
+    """The rows of docs whose text scores below `least`, as they are, whatever their columns' names. No rows: no rows."""
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
-    run = scorer(learn(docs, labels, scratch, **options), [*docs.columns])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_score double"])
-
-    def whole(batches):
-        for b in batches:
-            with_text = pa.record_batch([*b.columns, b.column("text")], names=[*b.schema.names, "_text"])
-            yield from run(iter([with_text]))
-
-    return spread(docs).mapInArrow(whole, schema).where(F.col("_score") < least).drop("_score")
+    run = scorer(learn(docs, labels, scratch, **options), ["kept"])
+    schema = T.StructType([T.StructField("kept", docs.schema), T.StructField("score", T.DoubleType())])
+    return spread(docs.select(whole_row(docs).alias("kept"), "text")).mapInArrow(run, schema).where(F.col("score") < least).select("kept.*")
