@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,18 @@ def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return id_, F.xxhash64(id_, F.coalesce(text, F.lit("")))
 
 
+class Shipped:
+    """A file that the driver can read, sent to every executor once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        spark.sparkContext.addFile(path)
+        self.name = os.path.basename(path)
+
+    def path(self) -> str:
+        """Where it lies on the executor that asks."""
+        return SparkFiles.get(self.name)
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions for a shuffle whose partition numbers matter."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import spread
-from docloom.llm.common import rows, tasks
+from docloom.llm.common import Shipped, rows, tasks
 
 WINDOW, END = 1024, 0
 #: Pieces packed together; also bounds what a task holds.
@@ -60,12 +61,13 @@ def pack(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
         k += 1
 
 
-def byte_level_ranks(path: str) -> dict[bytes, int] | None:
-    """Byte strings and ids of a tokenizer file, if it is byte-level BPE whose ids follow the order of its merges."""
-    import json
-
+def read_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        return json.load(f)
+
+
+def byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Byte strings and ids of a tokenizer file, if it is byte-level BPE whose ids follow the order of its merges."""
     model, pre = spec["model"], spec["pre_tokenizer"] or {}
     if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"]:
         return None
@@ -82,67 +84,76 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a file of the tokenizers library.
 
     A byte-level BPE file is run by tiktoken on the ranks read from it, which gives the same ids in a fraction of the
-    time; texts with very long runs of white space, which its splitter can't take, and files of other kinds go to the
-    tokenizers library itself. Strings of special tokens in a text are ordinary text.
+    time. Texts that hold the string of an added token, which the library takes out of a text first, those with very
+    long runs of white space, which tiktoken's splitter can't take, and files of other kinds go to the library itself.
     """
 
     #: The splitting pattern of this kind of tokenizer.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    RUN = re.compile(r"\s{2000}")
+    RUN = r"\s{2000}"
 
     def __init__(self, path: str):
         self.path, self.whole, self.quick = path, None, None
-        if ranks := byte_level_ranks(path):
+        spec = read_spec(path)
+        if ranks := byte_level_ranks(spec):
             import tiktoken
 
             self.quick = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
+            self.slow = re.compile("|".join([self.RUN, *added]))
 
     def library(self, text: str) -> list[int]:
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
-            self.whole.encode_special_tokens = True
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
-        ids = self.quick.encode_ordinary(text) if self.quick and not self.RUN.search(text) else self.library(text)
+        ids = self.quick.encode_ordinary(text) if self.quick and not self.slow.search(text) else self.library(text)
         return np.array(ids, dtype="<u4").tobytes()
 
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PLACED = f"{PIECE}, sequence_id long, offset long"
+NUMBERS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+PIECE = ", ".join(f"{c} long" for c in (*NUMBERS, "nth"))
+PLACED = ", ".join(f"{c} long" for c in (*NUMBERS, "sequence_id", "offset"))
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, part_size: int = PART) -> DataFrame:
-    """Whole windows of each document, and its remainder in pieces of at most `part_size`: doc_id, start, length, ids_crc32, doc_tokens."""
+    """Whole windows of each document, and its remainder in pieces of at most `part_size`: doc_id, start, length, ids_crc32,
+    doc_tokens, nth. nth counts a task's documents that are equal in id and tokens, so equal pieces can be dealt apart."""
+    file = Shipped(docs.sparkSession, tokenizer)
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(tokenizer)
+        encode = Encoder(file.path())
+        seen: dict[int, int] = {}
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in rows(b, "doc_id", "text"):
                 ids = memoryview(encode(text or "") + last)
                 n = len(ids) // 4
+                key = hash((doc_id or 0, n, zlib.crc32(ids)))
+                nth = seen[key] = seen.get(key, -1) + 1
                 full = n - n % window
                 for a in [*range(0, full, window), *range(full, n, part_size)]:
                     part = ids[4 * a : 4 * min(n, a + (window if a < full else part_size))]
-                    for c, x in zip(out, (doc_id, a, len(part) // 4, zlib.crc32(part), n), strict=True):
+                    for c, x in zip(out, (doc_id, a, len(part) // 4, zlib.crc32(part), n, nth), strict=True):
                         c.append(x)
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=[*NUMBERS, "nth"])
 
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECE)
 
 
 def place(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """cut (PIECE rows) with sequence_id and offset.
+    """cut (PIECE rows), without nth, with sequence_id and offset.
 
     Pieces are dealt by a hash over the whole row to a fixed number of partitions and sorted, so a rerun of a lost
-    task numbers alike. A whole window is a sequence of its own; the rest are packed `group` at a time. A task
+    task numbers alike. Of equal pieces a partition gets as many as there are tasks that made them at most, on average
+    its share. A whole window is a sequence of its own; the rest are packed `group` at a time. A task
     holds one group. Sequence numbers carry the partition above 40 bits.
     """
 
@@ -153,8 +164,7 @@ def place(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame
         held: list[tuple] = []
 
         def emit(placed: list[tuple]) -> pa.RecordBatch:
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            return pa.record_batch([pa.array([r[i] for r in placed], pa.int64()) for i in range(7)], names=names)
+            return pa.record_batch([pa.array([r[i] for r in placed], pa.int64()) for i in range(7)], names=[*NUMBERS, "sequence_id", "offset"])
 
         def packed(items: list[tuple]) -> list[tuple]:
             nonlocal next_id
@@ -169,7 +179,7 @@ def place(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame
 
         for b in batches:
             out = []
-            for r in rows(b, "doc_id", "start", "length", "ids_crc32", "doc_tokens"):
+            for r in rows(b, *NUMBERS):
                 if r[2] == window:
                     out.append((*r, next_id, 0))
                     next_id += 1
@@ -181,17 +191,15 @@ def place(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame
             yield emit(out)
         yield emit(packed(held))
 
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     n = tasks(cut.sparkSession)
-    return cut.repartition(n, F.xxhash64(*columns)).sortWithinPartitions(*columns).mapInArrow(run, PLACED)
+    return cut.repartition(n, F.xxhash64(*NUMBERS, "nth")).sortWithinPartitions(*NUMBERS).mapInArrow(run, PLACED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = END, part_size: int = PART, group: int = GROUP) -> DataFrame:
     """Pieces of docs (doc_id, text; more are ignored) in sequences of at most `window` tokens.
 
     A document's tokens are its ids, then `end`. It is cut at every `window` tokens; what is left over is cut at every
-    `part_size` and packed. Null
-    or empty text: `end` alone. Repeated rows and null ids: packed like any other row. No rows: no pieces. Returns
-    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; only these numbers are shuffled, never texts.
+    `part_size` and packed. Ids are the library's by default, so the string of an added token is that token. Null or
+    empty text: `end` alone. Repeated rows and null ids: packed like any other row. No rows: no pieces. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; only these numbers are shuffled, never texts.
     """
     return place(pieces(docs, tokenizer, window, end, part_size), window, group)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import spread
-from docloom.llm.common import rows
+from docloom.llm.common import Shipped, rows
 
 #: Cuts a text into pre-tokens: a run of non-space with one space before it if there is one, or a run of spaces.
 PRE = re.compile(rb"[ ]?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+?(?=[ ]?[^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
@@ -115,9 +115,10 @@ def token_counts(docs: DataFrame, ranks_file: str) -> DataFrame:
     the pieces' log-probabilities is largest. Every task keeps a trie of the pre-tokens it has seen; nothing is
     shuffled. Null or empty text: zeros. Repeated rows: counted alike. Any byte is a piece, so every text has a split.
     """
+    file = Shipped(docs.sparkSession, ranks_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(pieces_of(ranks_file))
+        trie = Trie(pieces_of(file.path()))
         for b in batches:
             texts = [t for (t,) in rows(b, "text")]
             got = list(count_tokens(texts, trie))

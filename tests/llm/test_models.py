@@ -296,18 +296,19 @@ def test_encoder_is_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     encode = packing.Encoder(BPE)
     assert encode.quick
-    for x in ["", "Hello  world\n\n a", "café \U0001f600 你好", " " * 5000 + "x", "<|endoftext|> it's", "a b\x1c\x85 c", "\t\n x  y   z "]:
+    for x in ["", "Hello  world\n\n a", "café \U0001f600 你好", " " * 5000 + "x", "<|endoftext|> it's", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>", "<|endof text|>", "a b\x1c\x85 c", "\t\n x  y   z "]:
         assert list(np.frombuffer(encode(x), dtype="<u4")) == t.encode(x, add_special_tokens=False).ids
 
 
-def test_packing_round_trip(odd, none):
+def test_packing_round_trip(odd, none, spark):
     from tokenizers import Tokenizer
 
+    marked = spark.createDataFrame([(20, "hello <|endoftext|> world"), (21, "<|endoftext|>")], "doc_id long, text string")
+    odd = odd.select("doc_id", "text").union(marked)
+
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     want = {}
     for i, x in rows_of(odd, "doc_id", "text"):
         want.setdefault(i, []).append([*t.encode(x or "", add_special_tokens=False).ids, 0])
@@ -335,6 +336,13 @@ def test_packing_round_trip(odd, none):
     assert packing.pack_documents(none, BPE).count() == 0
 
 
+def test_equal_documents_are_dealt_apart(spark):
+    """A document that makes up all rows doesn't meet in one partition."""
+    docs = spark.range(400).selectExpr("7L as doc_id", "'some words of a text' as text").repartition(1)
+    got = packing.pack_documents(docs, BPE).selectExpr("sequence_id >> 40 as part").groupBy("part").count().collect()
+    assert len(got) == 4 and max(r["count"] for r in got) < 200
+
+
 def test_differencing():
     rng = np.random.default_rng(1)
     for n, k in ((5, 1), (5, 3), (3, 5), (200, 20)):
