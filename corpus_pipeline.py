@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import line_dedup, mixing, packing, simhash_dedup, toxicity
-from docloom.llm.common import Scratch, table
+from docloom.llm.common import Scratch, cleared, table
 from docloom.llm.queries import tokenizer_file
 
 
@@ -20,7 +20,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """One document of each group of near copies, that with the smallest doc_id."""
     return simhash_dedup.keep_first(docs)
 
 
@@ -46,11 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read back for the next."""
+    """All stages over documents; each stage's result is written to the shared folder and read back for the next. What a
+    stage leaves there goes once its result is written, and that result once the next one's is."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.save(docs, name)
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with cleared():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)
