@@ -7,6 +7,7 @@ shuffle. What runs over the rows of a document is windows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,11 +17,8 @@ from pyspark.sql import functions as F
 from docloom.functions import spread
 from docloom.functions.text import alnum
 
-#: Abbreviations whose point ends no sentence, kinds of layout items, and patterns for a sentence's end, an
-#: item's number and a table's rule.
-ABBREVIATIONS = frozenset(
-    "e.g i.e etc vs cf approx appr ca no nos ref req fig figs dia min max avg std vol est dept mr mrs ms dr st jr sr inc ltd co".split()
-)
+#: Abbreviations whose point ends no sentence, kinds of layout items, an item's number and a list's line.
+ABBREVIATIONS = "e.g i.e etc vs cf approx appr ca no nos ref req fig figs dia min max avg std vol est dept mr mrs ms dr st jr sr inc ltd co".split()
 PROSE = ("paragraph", "caption", "footnote", "other")
 FURNITURE = ("page_header", "page_footer")
 STARTS = ("heading", "title", "table")
@@ -28,10 +26,21 @@ LAYOUT_KINDS = {
     "section_header": "heading", "heading": "heading", "title": "title", "table": "table", "list_item": "list_item", "text": "paragraph", "paragraph": "paragraph",
     "caption": "caption", "footnote": "footnote", "page_header": "page_header", "page_footer": "page_footer", "picture": "picture", "formula": "formula", "code": "code",
 }
-SENTENCE_END = re.compile(r"[.?!][\"')\]]*\s+(?=[A-Z0-9\"'(\[])")
-LIST_NUMBER = re.compile(r"\(?(?:\d{1,3}(?:\.\d{1,3})*|[ivxlcdm]{1,4}|[a-z])\)?\.", re.IGNORECASE)
-CELL_RULE = re.compile(r"^[ \t]*\|?[ \t:|-]*-[ \t:|-]*\|?[ \t]*$")
+LIST_NUMBER = r"\(?(?:\d{1,3}(?:\.\d{1,3})*|[ivxlcdm]{1,4}|[a-z])\)?\."
 LIST_LINE = re.compile(r"\s*(?:[-*•]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s")
+HEADS = ("heading", "title")
+CLOSERS = r"[\"')\]]*"
+#: What a scan over prose meets: a number that opens it or an abbreviation, each with its point, which are passed over,
+#: or else (group 1) the space between a terminator with its closers and whatever can open a sentence.
+SENTENCE_GAP = re.compile(
+    rf"\A\s*(?i:{LIST_NUMBER}){CLOSERS}(?=\s)"
+    rf"|(?<!\S)[(\[\"']*(?i:{'|'.join(map(re.escape, sorted(ABBREVIATIONS, key=len, reverse=True)))})[.?!\"')\]]*\.{CLOSERS}(?=\s)"
+    rf"|[.?!]{CLOSERS}(\s+)(?=[A-Z0-9\"'(\[])"
+)
+#: Where a text that is too long is best cut, best first, and the share of a piece that must lie before it.
+BREAKS = ((re.compile(r"(?s).*(\n\n)"), 0.5), (re.compile(r"(?s).*(\n)"), 0.0), (re.compile(r"(?s).*([ \t])"), 0.0))
+PIPE_BLOCK = re.compile(r"(?m)^[ \t]*\|.*(?:\n[ \t]*\|.*)*")
+PIPE = re.compile(r"[ \t]*\|")
 
 
 def layout_kind(label: Column) -> Column:
@@ -96,105 +105,119 @@ def boundaries(starts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def sentence_cuts(text: str) -> list[int]:
-    """Positions after a sentence's end: a terminator, closers and space before a capital, digit or opener, if the word
-    before isn't an abbreviation or the list number that opens the text."""
-    def ends_one(m: re.Match) -> bool:
-        word = re.search(r"\S*$", text[: m.start() + 1])
-        bare = word[0].lower().rstrip(".?!\"')]").lstrip("([\"'")
-        opens_with_number = not text[: word.start()].strip() and LIST_NUMBER.fullmatch(word[0])
-        return not opens_with_number and not (m[0].startswith(".") and bare in ABBREVIATIONS)
+    """Where a sentence begins after another one, in one scan: see SENTENCE_GAP."""
+    return [m.end(1) for m in SENTENCE_GAP.finditer(text) if m[1]]
+
+
+def is_rule(row: str) -> bool:
+    """Whether a table's row is the line between header and body."""
+    return "-" in row and not row.strip(" \t:|-")
+
 
-    return [m.end() for m in SENTENCE_END.finditer(text) if ends_one(m)]
+def is_heading(row: str) -> bool:
+    """Whether a line that stands alone is a heading: short, it begins in upper case, and but for its number it has none of . ; :"""
+    return len(row) <= 60 and row.strip()[:1].isupper() and not re.search(r"[.;:]", re.sub(r"^\s*\(?[\dA-Za-z]{1,4}[.)]\s+", "", row))
+
+
+def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Start and lines of what lies between blank lines."""
+    at, begun, held = 0, 0, []
+    for line in text.split("\n"):
+        if line.strip():
+            begun = begun if held else at
+            held.append(line)
+        elif held:
+            yield begun, held
+            held = []
+        at += len(line) + 1
+    if held:
+        yield begun, held
 
 
 def text_layout(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind of the blocks between blank lines: table, list_item for each line of a list, heading, paragraph."""
     out = []
-    for m in re.finditer(r"(?:[^\n]*\S[^\n]*\n?)+", text):
-        block, at = m[0].rstrip("\n"), m.start()
-        rows = block.split("\n")
+    for at, rows in blocks(text):
+        end = at + sum(map(len, rows)) + len(rows) - 1
         if all(r.lstrip().startswith("|") for r in rows):
-            out.append((at, at + len(block), "table"))
+            out.append((at, end, "table"))
         elif LIST_LINE.match(rows[0]):
             for r in rows:
                 out.append((at, at + len(r), "list_item"))
                 at += len(r) + 1
         else:
-            bare = len(block) <= 60 and "\n" not in block and block.strip()[:1].isupper() and not re.search(r"[.;:]", re.sub(r"^\s*\(?[\dA-Za-z]{1,4}[.)]\s+", "", block))
-            out.append((at, at + len(block), "heading" if bare else "paragraph"))
+            out.append((at, end, "heading" if len(rows) == 1 and is_heading(rows[0]) else "paragraph"))
     return out
 
 
-def table_cuts(text: str) -> list[int]:
-    """Starts of the rows of a table after the first; its rule stays with the row above."""
-    return [m.start() for m in re.finditer(r"[^\n]+", text) if m.start() and not CELL_RULE.match(m[0])]
+def marks(text: str) -> Iterator[tuple[int, str]]:
+    """Where a span may begin and its kind, from left to right: at each block, inside a table at each row that is no rule,
+    inside prose at each sentence."""
+    for a, b, kind in text_layout(text):
+        yield a, kind
+        if kind == "table":
+            at = a
+            for row in text[a:b].split("\n"):
+                if at > a and not is_rule(row):
+                    yield at, "table_row"
+                at += len(row) + 1
+        elif kind in PROSE:
+            yield from ((a + c, kind) for c in sentence_cuts(text[a:b]))
 
 
 def spans_of(text: str, least: int = 2) -> list[tuple[int, int, str]]:
-    """Spans (start, end, kind) that tile the text: layout blocks, cut at sentences and table rows. Fragments of fewer
-    than `least` letters and digits go with the span before, or with the next if they open the text; a heading goes with
-    what follows it, or with what precedes if nothing does."""
+    """Spans (start, end, kind) that tile the text, from its marks.
+
+    A mark begins a span if what follows up to the next one has `least` letters and digits or is a table's row, unless a
+    heading is before it, or it is itself a heading with nothing of that weight behind it. A fragment that opens the text
+    goes with what follows, and so gives its place as first to it.
+    """
     if not text:
         return []
-    pieces: list[tuple[int, str]] = []
-    for a, b, kind in text_layout(text) or [(0, len(text), "other")]:
-        pieces.append((a, kind))
-        if kind == "table":
-            pieces += [(a + c, "table_row") for c in table_cuts(text[a:b])]
-        elif kind in PROSE:
-            pieces += [(a + c, kind) for c in sentence_cuts(text[a:b])]
-    ends = [p for p, _ in pieces[1:]] + [len(text)]
-    small = [k != "table_row" and sum(map(str.isalnum, text[p:e])) < least for (p, k), e in zip(pieces, ends, strict=True)]
-    body_after = [False] * len(pieces)
-    for i in range(len(pieces) - 2, -1, -1):
-        body_after[i] = body_after[i + 1] or not small[i + 1]
-    opens = [(0, pieces[1][1] if small[0] and len(pieces) > 1 else pieces[0][1])]
-    for i in range(1, len(pieces)):
-        (p, kind), before = pieces[i], pieces[i - 1][1]
-        after_heading = before in ("heading", "title") and body_after[i - 1]
-        closes_with_heading = kind in ("heading", "title") and not body_after[i]
-        if after_heading or (i == 1 and small[0]) or small[i] or closes_with_heading or p <= opens[-1][0]:
-            continue
-        opens.append((p, kind))
-    return [(a, b, k) for (a, k), b in zip(opens, [p for p, _ in opens[1:]] + [len(text)], strict=True)]
-
-
-def cut_place(head: str, after: int) -> tuple[int, int]:
-    """Where to end a piece of head and where to go on: at the last blank line of its second half, else at its last line
-    end, else at its last blank or tab, each behind `after`; else at its end."""
-    for marks, least in ((("\n\n",), max(after, (len(head) + 1) // 2)), (("\n",), after + 1), ((" ", "\t"), after + 1)):
-        at, mark = max((head.rfind(m, least), m) for m in marks)
-        if at > after:
-            return at, at + len(mark)
-    return len(head), len(head)
+    at, kinds = zip(*(list(marks(text)) or [(0, "other")]), strict=True)
+    heavy = [k == "table_row" or sum(map(str.isalnum, text[a:b])) >= least for a, b, k in zip(at, (*at[1:], len(text)), kinds, strict=True)]
+    last = max((i for i, h in enumerate(heavy) if h), default=-1)
+    first = 0 if heavy[0] else 1
+    begins = [i for i in range(first + 1, len(at)) if heavy[i] and kinds[i - 1] not in HEADS and not (i == last and kinds[i] in HEADS)]
+    edges = [0, *(at[i] for i in begins), len(text)]
+    return list(zip(edges[:-1], edges[1:], [kinds[min(first, len(kinds) - 1)], *(kinds[i] for i in begins)], strict=True))
 
 
-def hard_split(text: str, cap: int) -> list[str]:
-    """Pieces shorter than `cap`, cut by cut_place(). A table that a cut falls into repeats its header if that takes less
-    than half a piece."""
-    out: list[str] = []
-    carried = ""
-    while carried or text:
-        whole = carried + text
-        if len(whole) < cap:
-            out.append(whole)
-            break
-        end, go_on = cut_place(whole[: cap - 1], max(0, len(carried) - 1))
-        out.append(whole[:end])
-        text = whole[go_on:]
-        head = table_head(out[-1]) if text.lstrip(" \t").startswith("|") else ""
-        carried = f"{head}\n" if head and len(head) < cap // 2 else ""
+def headed_tables(text: str) -> list[tuple[int, int, str]]:
+    """start, end and header with its rule of the pipe tables that have one."""
+    out = []
+    for m in PIPE_BLOCK.finditer(text):
+        rows = m[0].split("\n", 2)
+        if len(rows) > 1 and is_rule(rows[1]):
+            out.append((m.start(), m.end(), f"{rows[0]}\n{rows[1]}"))
     return out
 
 
-def table_head(piece: str) -> str:
-    """Header and rule of the pipe table that the piece ends in, empty if it ends in none."""
-    tail: list[str] = []
-    for row in reversed(piece.split("\n")):
-        if not row.lstrip(" \t").startswith("|"):
+def hard_split(text: str, cap: int) -> list[str]:
+    """Pieces shorter than `cap`: each ends at the last blank line of its second half, else at its last line end, else at
+    its last blank or tab, which go, else where it is full. A piece that goes on with the rows of a table whose header
+    was in the one before has the header first, if that takes less than half a piece."""
+    tables = headed_tables(text)
+    out: list[str] = []
+    at, head, owner = 0, "", -1  # owner: the table whose header the piece has
+    while at < len(text):
+        room = cap - 1 - len(head)
+        if len(text) - at <= room:
+            out.append(head + text[at:])
             break
-        tail.insert(0, row)
-    return "\n".join(tail[:2]) if len(tail) > 1 and CELL_RULE.match(tail[1]) else ""
+        end = go_on = at + room
+        for pattern, share in BREAKS:
+            low = max(0 if head else 1, int(cap * share) - len(head))
+            if m := pattern.match(text, at + low, at + room):
+                end, go_on = m.span(1)
+                break
+        out.append(head + text[at:end])
+        i = bisect_right(tables, (go_on,)) - 1
+        inside = i >= 0 and tables[i][0] < go_on < tables[i][1] and PIPE.match(text, go_on)
+        has_header = i == owner or i >= 0 and tables[i][0] >= at and end >= tables[i][0] + len(tables[i][2])
+        head, owner = (f"{tables[i][2]}\n", i) if inside and has_header and len(tables[i][2]) < cap // 2 else ("", -1)
+        at = go_on
+    return out
 
 
 def exploded(docs: DataFrame, f: Callable[[str], list[tuple]], schema: str, names: list[str], id_col: str = "doc_id") -> DataFrame:
