@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,6 @@ from docloom.llm.common import Scratch, rows
 MOST_LABELLED = 20_000
 #: Least and largest number of documents that a prior counts for.
 STRENGTH = (2.0, 1000.0)
-#: A site moves a document's log-odds by so much at most.
-MOST_SHIFT = 2.0
 #: Score from which a document is kept: low, since a good document lost costs more than a poor one kept.
 LEAST = 0.3
 N_FEATURES = 8
@@ -74,6 +73,49 @@ def basis(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, x * x, np.ones((len(x), 1))], axis=1)
 
 
+@dataclass
+class Evidence:
+    """What a text says: the log-odds slope * margin + shift of a regression's margin, kept within the margins that the
+    calibration has seen, and the base rate of the labels, which the log-odds contain."""
+
+    weights: np.ndarray
+    slope: float
+    shift: float
+    range: tuple[float, float]
+    base: float
+
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        return self.slope * np.clip(basis(x) @ self.weights, *self.range) + self.shift
+
+
+def learn(x: np.ndarray, y: np.ndarray) -> Evidence:
+    """A regression on all rows, calibrated on margins that regressions on one half give the other.
+
+    Few labels, or labels that the text predicts badly, give log-odds near the base rate, however sure the regression is
+    of the rows it has seen. Targets are smoothed by one document of each class, so nothing is ever certain.
+    """
+    n1, n0 = float(y.sum()), float(len(y) - y.sum())
+    base = (n1 + 1) / (n1 + n0 + 2)
+    whole = fit(x, y)
+    if not n1 or not n0:
+        return Evidence(whole, 0.0, float(np.log(base / (1 - base))), (0.0, 0.0), base)
+    half = np.arange(len(y)) % 2 == 0
+    margin = np.zeros(len(y))
+    for part in (half, ~half):
+        margin[part] = np.clip(basis(x[part]) @ fit(x[~part], y[~part]), -30, 30)
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    design = np.stack([margin, np.ones(len(y))], axis=1)
+    w = np.array([0.0, np.log(base / (1 - base))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        h = (design * (p * (1 - p))[:, None]).T @ design + np.diag([1e-3, 1e-6])
+        step = np.linalg.solve(h, design.T @ (target - p) - np.array([1e-3, 0.0]) * w)
+        w += np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return Evidence(whole, max(float(w[0]), 0.0), float(w[1]), (float(margin.min()), float(margin.max())), base)
+
+
 def described(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "x array<double>"])
 
@@ -96,62 +138,65 @@ def sites_of(pages: DataFrame) -> DataFrame:
     return named.where("_id is not null and s.host != ''").groupBy("_id").agg(F.min("s").alias("s")).select("_id", "s.host", "s.path")
 
 
-def strength(groups: DataFrame, mean: str) -> float:
-    """What a prior counts for, by the method of moments: the less groups differ beyond chance, the more."""
-    m = F.col("good") / F.col("n")
-    prior = F.col(mean)
-    got = groups.where("n > 1").agg(
-        F.sum(F.col("n") * (m - prior) ** 2).alias("seen"), F.sum(prior * (1 - prior)).alias("chance"), F.sum("n").alias("n"), F.sum(F.col("n") * prior * (1 - prior)).alias("spread")
-    ).first()
-    if not got.n:
+def strength(groups: DataFrame, prior: str) -> float:
+    """How many documents a prior counts for: the variance within groups (n, s, q: number, sum, sum of squares) by that
+    between them, by the method of moments. The less groups differ beyond chance, the more."""
+    n, mean = F.col("n"), F.col("s") / F.col("n")
+    got = groups.agg(F.sum(F.col("q") - F.col("s") * mean).alias("inside"), F.sum(n * (mean - F.col(prior)) ** 2).alias("apart"), F.sum("n").alias("n"), F.count("*").alias("groups")).first()
+    if not got.n or got.n == got.groups:
         return STRENGTH[1]
-    between = max((got.seen - got.chance) / got.n, 1e-9)
-    return float(min(max(got.spread / got.n / between - 1, STRENGTH[0]), STRENGTH[1]))
+    within = max(got.inside / (got.n - got.groups), 0.0)
+    between = (got.apart - got.groups * within) / got.n
+    return float(min(max(within / between, STRENGTH[0]), STRENGTH[1])) if between > 0 else STRENGTH[1]
 
 
 def classify(docs: DataFrame, labels: DataFrame, pages: DataFrame, *, most_labelled: int = MOST_LABELLED, least: float = LEAST, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, host, path, document, host_rate, path_rate, score, kept for each row of docs (doc_id, text).
 
-    document is a logistic regression's probability from the text alone, learned on labels (doc_id, quality). Its sums
-    per host and path, the document itself left out, give host_rate, shrunk to the global rate, and path_rate, shrunk
-    to host_rate; how far follows from how much groups differ. The score moves the document's log-odds by those of its
-    path against the global rate. kept: score >= least.
+    document is the calibrated probability from the text alone, learned on labels (doc_id, quality), `most_labelled` at
+    most. A document's outcome is its label where it has one, else that probability. Outcomes are summed per host and
+    path; without the document's own, host_rate is the host's mean shrunk to the global mean and path_rate the path's
+    shrunk to host_rate, by as many documents as the groups' variances say. The score is the posterior that starts from
+    path_rate and takes the text's evidence, its log-odds against the labels' base rate. kept: score >= least.
 
     Only numbers and site names are shuffled. Sums are made map-side first; a host with a third of all rows meets its
     one row of sums in a join that adaptive execution splits, or by broadcast if Spark measures the table as small.
     Null or empty text is scored like any other. Without a page of its own a document's site is null and its rates
-    are the global rate. Repeated rows each have a row. Without labels document is the same for all.
+    are the global mean. Repeated rows each count and have a row. Without labels document is the same for all. No rows:
+    no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "classifier")
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_good")).dropna().groupBy("_id").agg(F.min("_good").alias("_good"))
     sample = scratch.save(known.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled), "sample")
     texts = spread(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"))
-    seen = described(texts.join(F.broadcast(sample), "_id"), ["_id", "_good"]).toPandas().sort_values("_id", kind="stable")
-    x = np.stack(seen["x"].to_numpy()) if len(seen) else np.zeros((0, N_FEATURES))
-    w = fit(x, seen["_good"].to_numpy(dtype=float))
+    seen = described(texts.join(F.broadcast(sample), "_id"), ["_id", "_good"]).toPandas()
+    seen = seen.assign(x=seen["x"].map(tuple)).sort_values(["_id", "x"], kind="stable")
+    x = np.array(seen["x"].to_list(), dtype=float).reshape(-1, N_FEATURES)
+    says = learn(x, seen["_good"].to_numpy(dtype=float))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([features(t) for (t,) in rows(b, "text")]).reshape(-1, N_FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(basis(got) @ w, -12, 12)))
-            yield pa.record_batch([b.column("_id"), pa.array(p, pa.float64())], names=["_id", "document"])
-
-    own = scratch.save(texts.mapInArrow(judged, "_id long, document double"), "own")
-    placed = scratch.save(own.join(sites_of(pages), "_id", "left"), "placed")
-    mean = placed.agg(F.avg("document")).first()[0] or 0.5
-    sums = lambda *by: placed.where("host is not null").groupBy(*by).agg(F.count("*").alias("n"), F.sum("document").alias("good"))
-    hosts = scratch.save(sums("host").withColumn("mean", F.lit(float(mean))), "hosts")
+            yield pa.record_batch([b.column("_id"), pa.array(says.log_odds(got), pa.float64())], names=["_id", "log_odds"])
+
+    own = scratch.save(texts.mapInArrow(judged, "_id long, log_odds double"), "own")
+    outcome = F.coalesce(F.col("_good").cast("double"), F.col("document"))
+    placed = own.withColumn("document", 1 / (1 + F.exp(-F.col("log_odds")))).join(known, "_id", "left").withColumn("x", outcome).drop("_good").join(sites_of(pages), "_id", "left")
+    placed = scratch.save(placed, "placed")
+    mean = placed.agg(F.avg("x")).first()[0]
+    mean = says.base if mean is None else float(mean)
+    sums = lambda *by: placed.where("host is not null").groupBy(*by).agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    hosts = scratch.save(sums("host").withColumn("mean", F.lit(mean)), "hosts")
     k = strength(hosts, "mean")
-    posterior = (F.col("mean") * k + F.col("good")) / (k + F.col("n"))
-    paths = sums("host", "path").join(hosts.select("host", posterior.alias("host_mean")), "host")
+    paths = sums("host", "path").join(hosts.select("host", ((F.lit(mean) * k + F.col("s")) / (k + F.col("n"))).alias("host_mean")), "host")
     paths = scratch.save(paths, "paths")
     kp = strength(paths, "host_mean")
-    both = scratch.save(paths.alias("p").join(hosts.alias("h"), "host").select(F.col("p.path").alias("_path"), F.col("p.n").alias("pn"), F.col("p.good").alias("pg"), F.col("h.n").alias("hn"), F.col("h.good").alias("hg")), "sites")
+    both = scratch.save(paths.alias("p").join(hosts.alias("h"), "host").select(F.col("p.path").alias("_path"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs")), "sites")
     joined = placed.join(both, placed.path == both._path, "left")
-    host_rate = (F.lit(float(mean)) * k + F.col("hg") - F.col("document")) / (k + F.col("hn") - 1)
-    path_rate = (F.col("host_rate") * kp + F.col("pg") - F.col("document")) / (kp + F.col("pn") - 1)
-    joined = joined.withColumn("host_rate", F.coalesce(host_rate, F.lit(float(mean)))).withColumn("path_rate", F.coalesce(path_rate, F.lit(float(mean))))
-    shift = F.greatest(F.least(logit(F.col("path_rate")) - logit(F.lit(float(mean))), F.lit(MOST_SHIFT)), F.lit(-MOST_SHIFT))
-    score = 1 / (1 + F.exp(-(logit(F.col("document")) + shift)))
+    host_rate = F.coalesce((F.lit(mean) * k + F.col("hs") - F.col("x")) / (k + F.col("hn") - 1), F.lit(mean))
+    path_rate = F.coalesce((F.col("host_rate") * kp + F.col("ps") - F.col("x")) / (kp + F.col("pn") - 1), F.lit(mean))
+    joined = joined.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
+    evidence = F.col("log_odds") - float(np.log(says.base / (1 - says.base)))
+    score = 1 / (1 + F.exp(-(logit(F.col("path_rate")) + evidence)))
     return joined.withColumn("score", score).select(F.col("_id").alias("doc_id"), "host", "path", "document", "host_rate", "path_rate", "score", (F.col("score") >= least).alias("kept"))
