@@ -281,9 +281,9 @@ def test_toxicity_odd(odd, none, labels):
 
 
 def brute_search(vectors, k=10):
-    ok = {(i, tuple(np.floor(np.array(v, dtype=float) * 1024).astype(int))) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    ok = [(i, tuple(np.floor(np.array(v, dtype=float) * 1024).astype(int).tolist())) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, x in ok:
+    for q, x in set(ok):
         if q % 100 == 0:
             scores = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for i, y in ok if i != q)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
@@ -294,15 +294,15 @@ def search_rows(df):
     return sorted(rows_of(df, "query_id", "rank", "vec_id", "score"))
 
 
-@pytest.mark.parametrize("block", [4096, 37])
-def test_search_brute(spark, block):
+@pytest.mark.parametrize("block,least", [(4096, 2048), (37, 10)])
+def test_search_brute(spark, block, least):
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(2)
     v = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8).astype(np.float32)]) for i in range(400)]
-    v += [(i, v[5][1]) for i in range(400, 460)] + [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (None, v[0][1]), v[3], (600, [0.0] * 8), (700, v[7][1][:5])]
+    v += [(i, v[5][1]) for i in range(400, 460)] + [(500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (None, v[0][1]), v[3], (600, [0.0] * 8), (700, v[7][1][:5]), (100, v[9][1]), v[100], *[(44, [0.9] * 8)] * 30]
     df = spark.createDataFrame([(*x, 1, 2) for x in v], "vec_id long, embedding array<float>, block int, x int")
-    got = topk_search.search(df, F.col("vec_id") % 100 == 0, block=block, query_block=3)
+    got = topk_search.search(df, F.col("vec_id") % 100 == 0, block=block, query_block=3, least=least)
     assert search_rows(got) == brute_search(v)
 
 
@@ -320,7 +320,18 @@ def test_block_index_stops_early():
     x = rng.integers(-50, 50, (3000, 16))
     x[7] = 1000
     index = topk_search.BlockIndex(x)
-    assert index.top(np.full(16, 900), 1, np.array([], dtype=np.int64), np.arange(3000))[0][1] == 7
+    index = topk_search.BlockIndex.load(index.dump())
+    assert index.top(np.full(16, 900), 1, np.array([], dtype=np.int64), np.arange(3000))[0][1:] == (7, 7)
+
+
+def test_scores_beyond_doubles():
+    """Large components are multiplied as whole numbers."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(-(2**29), 2**29, (500, 12))
+    index = topk_search.BlockIndex.load(topk_search.BlockIndex(x).dump())
+    for q in (x[3], rng.integers(-3, 3, 12)):
+        want = sorted(zip((-(x.astype(object) @ q.astype(object))).tolist(), range(500), strict=True))[:10]
+        assert [(-s, i) for s, i, _ in index.top(q, 10, np.array([], dtype=np.int64), np.arange(500))] == want
 
 
 # mixing
