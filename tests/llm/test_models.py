@@ -99,6 +99,72 @@ def test_quality_ratio_by_hand(spark):
     assert all(got[i].kept for i in range(30) if not got[i].base_failed) and not any(got[i].kept for i in range(30, 60))
 
 
+def brute_ratio(rows, labels):
+    """ratio and kept of each row (doc_id, text), n-gram by n-gram."""
+    import xxhash
+
+    n_bytes = sum(len((t or "").encode()) for _, t in rows)
+    bits = 14
+    while 2**bits < n_bytes**0.5:
+        bits += 1
+    low = (1 << 64) - 1
+    mix = 0x9E3779B97F4A7C15
+    pair = lambda x, y: ((x * mix & low) ^ y) * mix & low
+
+    def grams(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        one = [xxhash.xxh64_intdigest(w) for w in words]
+        shapes = [xxhash.xxh64_intdigest(quality_rules.shape(w)) for w in words]
+        every = [[x * mix & low for x in one], [pair(*x) for x in zip(one, one[1:], strict=False)], [pair(*x) for x in zip(shapes, shapes[1:], strict=False)]]
+        return [(kind, x >> (64 - bits)) for kind, xs in enumerate(every) for x in xs], len(words)
+
+    quality = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            quality[i] = min(quality.get(i, 1), q)
+    raw, good = {}, {}
+    for i, t in rows:
+        for g in grams(t)[0]:
+            raw[g] = raw.get(g, 0) + 1
+            good[g] = good.get(g, 0) + (quality.get(i) == 1)
+    total = lambda d, kind: sum(n for (k, _), n in d.items() if k == kind)
+    sums = [(total(raw, k), total(good, k)) for k in range(3)]
+
+    def ratio(text):
+        got, n = grams(text)
+        each = [math.log((good[g] / ((raw[g] + 1) / (sums[g[0]][0] + 2**bits)) + 1000) / (sums[g[0]][1] + 1000)) for g in got]
+        return sum(each) / n if n else 0.0
+
+    ratios = [ratio(t) for _, t in rows]
+    bad = [brute_base(t)[-1] for _, t in rows]
+    trusted = sorted(r for (i, _), r, b in zip(rows, ratios, bad, strict=True) if quality.get(i) == 1 and not b)
+    at = lambda p: trusted[max(0, math.ceil(p * len(trusted)) - 1)]
+    least = at(0.002) - 2 * (at(0.5) - at(0.002)) if trusted else -math.inf
+    return [(i, r, not b and r >= least) for (i, _), r, b in zip(rows, ratios, bad, strict=True)]
+
+
+def test_quality_against_brute_force(spark, sf, odd, labels):
+    docs, known = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    for d, k in ((docs, known), (odd, labels)):
+        rows = rows_of(d, "doc_id", "text")
+        got = rows_of(quality_rules.quality(d, k), "doc_id", "ratio", "kept")
+        key = lambda r: (str(r[0]), round(r[1], 4))
+        for a, b in zip(sorted(got, key=key), sorted(brute_ratio(rows, rows_of(k, "doc_id", "quality")), key=key), strict=True):
+            assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 and a[2] == b[2]
+    assert not all(r[2] for r in got)
+
+
+def test_quality_at_other_sizes(spark, sf, monkeypatch):
+    """Sparse counting and ids met by a join give the same; buckets grow with the corpus."""
+    from docloom.llm.common import Scratch
+
+    docs, known = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a = quality_rules.learn(docs, known, Scratch(spark, "test"))
+    b = quality_rules.learn(docs, known, Scratch(spark, "test"), few=0, dense=1)
+    assert np.array_equal(a.tables, b.tables) and a.least == b.least
+    assert [quality_rules.bits_for(n) for n in (0, 1, 10**8, 2**32, 2**32 + 2, 10**14)] == [14, 14, 14, 16, 17, 24]
+
+
 def test_quality_on_labels(spark, sf):
     base = sf.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
