@@ -45,7 +45,7 @@ def nearest(exceptions: DataFrame, caps: DataFrame, window: int = 3000, cell: in
     after = Window.partitionBy("contract").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
     right = own("end", starts.schema["c"].dataType).unionByName(starts).withColumn("c", F.min("c").over(after)).where("side = 1 and c is not null")
     right = right.select("contract", F.col("id").alias("exception"), (F.col("c.at") - F.col("at")).alias("gap"), "c.p", "c.cap")
-    cells = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / cell)))
+    cells = F.explode(cells_of(F.col("start"), F.col("end"), cell))
     e, c = exceptions.withColumn("cell", cells).alias("e"), caps.withColumn("cell", cells).alias("c")
     met = e.join(c, (F.col("e.contract") == F.col("c.contract")) & (F.col("e.cell") == F.col("c.cell"))).where("e.start < c.end and c.start < e.end")
     over = met.select("e.contract", F.col("e.id").alias("exception"), F.lit(0).alias("gap"), F.col("c.position").alias("p"), F.col("c.id").alias("cap"))
@@ -55,34 +55,43 @@ def nearest(exceptions: DataFrame, caps: DataFrame, window: int = 3000, cell: in
     return links, exceptions.join(links.select(F.col("contract"), F.col("exception").alias("id")), ["contract", "id"], "left_anti")
 
 
+def cells_of(start: Column, end: Column, cell: int) -> Column:
+    """Numbers of the cells of `cell` places that a range from start to before end touches, one at least."""
+    return F.sequence(F.floor(start / cell), F.floor(F.greatest(end - 1, start) / cell))
+
+
 def overlapping_pages(spans: DataFrame, pages: DataFrame, cell: int = 4096) -> DataFrame:
     """span_id with the sorted different pages whose range it overlaps, and the box if there is exactly one: spans
     (document, span_id, start, end), pages (document, page, start, end, box). Both sides are dealt to cells of the text,
     so a pair meets by document and cell, not by document alone."""
-    cells = lambda d: F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / cell)))
-    s = spans.select("document", "span_id", "start", "end", cells(spans).alias("cell")).alias("s")
-    p = pages.select("document", "page", "start", "end", "box", cells(pages).alias("cell")).alias("p")
+    cells = F.explode(cells_of(F.col("start"), F.col("end"), cell))
+    s = spans.select("document", "span_id", "start", "end", cells.alias("cell")).alias("s")
+    p = pages.select("document", "page", "start", "end", "box", cells.alias("cell")).alias("p")
     met = s.join(p, (F.col("s.document") == F.col("p.document")) & (F.col("s.cell") == F.col("p.cell"))).where("s.start < p.end and s.end > p.start")
     hit = met.select("s.document", "s.span_id", "p.page", "p.box").distinct()
     got = hit.groupBy("document", "span_id").agg(F.sort_array(F.collect_set("page")).alias("pages"), F.when(F.count("*") == 1, F.max("box")).alias("box"))
     return spans.select("document", "span_id").join(got, ["document", "span_id"], "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<int>")))
 
 
-def widest_label(spans: DataFrame, labels: DataFrame, none: str = "NONE") -> DataFrame:
+def widest_label(spans: DataFrame, labels: DataFrame, none: str = "NONE", cell: int = 4096) -> DataFrame:
     """span_id with the label that overlaps it most, of equals the first by position, or `none`: spans (document,
-    span_id, start, end), labels (document, label, start, end, position)."""
-    s, a = spans.alias("s"), labels.alias("a")
-    met = s.join(a, (F.col("s.document") == F.col("a.document")) & (F.col("s.start") < F.col("a.end")) & (F.col("s.end") > F.col("a.start")))
+    span_id, start, end), labels (document, label, start, end, position). Both meet by document and cell of the text; that a
+    pair may meet in several cells doesn't change which is best."""
+    cells = F.explode(cells_of(F.col("start"), F.col("end"), cell))
+    s, a = spans.withColumn("cell", cells).alias("s"), labels.withColumn("cell", cells).alias("a")
+    met = s.join(a, (F.col("s.document") == F.col("a.document")) & (F.col("s.cell") == F.col("a.cell"))).where("s.start < a.end and s.end > a.start")
     overlap = F.least(F.col("s.end"), F.col("a.end")) - F.greatest(F.col("s.start"), F.col("a.start"))
     best = met.groupBy("s.document", "s.span_id").agg(F.max_by("a.label", F.struct(overlap, -F.col("a.position"))).alias("label"))
     return spans.select("document", "span_id").join(best, ["document", "span_id"], "left").fillna({"label": none})
 
 
-def cell_in_table(cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """Cells (sheet, r, c) with the table (sheet, table_id, l, t, rr, b) whose rectangle holds them."""
-    x, y = cells.alias("x"), tables.alias("y")
-    inside = (F.col("x.sheet") == F.col("y.sheet")) & (F.col("y.l") <= F.col("x.c")) & (F.col("x.c") < F.col("y.rr")) & (F.col("y.t") <= F.col("x.r")) & (F.col("x.r") < F.col("y.b"))
-    return x.join(y, inside).select("x.*", "y.table_id")
+def cell_in_table(cells: DataFrame, tables: DataFrame, rows: int = 256) -> DataFrame:
+    """Cells (sheet, r, c) with the table (sheet, table_id, l, t, rr, b) whose rectangle holds them. Both meet by sheet and
+    strip of rows, of which a cell is in one."""
+    x = cells.withColumn("_strip", F.floor(F.col("r") / rows)).alias("x")
+    y = tables.where("b > t").withColumn("_strip", F.explode(cells_of(F.col("t"), F.col("b"), rows))).alias("y")
+    met = x.join(y, (F.col("x.sheet") == F.col("y.sheet")) & (F.col("x._strip") == F.col("y._strip")))
+    return met.where("y.l <= x.c and x.c < y.rr and y.t <= x.r and x.r < y.b").select("x.*", "y.table_id").drop("_strip")
 
 
 def same_occurrence(rows: DataFrame, lines: DataFrame) -> DataFrame:

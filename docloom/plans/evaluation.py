@@ -178,11 +178,12 @@ def token_prf(t):
     return r9(evals.token_overlap(pairs), "precision", "recall", "f1")
 
 
-@C.add("SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings d, embeddings q WHERE q.vec_id % 100 = 0")
+@C.add("SELECT a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(t):
+    """Each vector and the next one."""
     e = t("embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.crossJoin(q).select("query_id", F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(after, "vec_id").select(F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
 
 
 def calls(t):
