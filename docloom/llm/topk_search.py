@@ -17,7 +17,7 @@ BLOCK, QUERIES = 16_384, 16_384
 #: Vectors that make a block of its own worth while.
 LEAST = 2048
 #: Impact levels of a dimension, and rounds in which a query's segments are processed.
-LEVELS, ROUNDS = 24, 4
+LEVELS, ROUNDS = 24, 3
 
 
 def whole_components(vector: Column, scale: int = SCALE) -> Column:
@@ -43,8 +43,9 @@ class BlockIndex:
     def __init__(self, vectors: np.ndarray, levels: int = LEVELS, order: np.ndarray | None = None, starts: np.ndarray | None = None):
         self.vectors, self.levels = vectors, levels
         n, dims = vectors.shape
-        self.order = np.argsort(-vectors, axis=0, kind="stable").T.astype(np.int32) if order is None else order
-        self.sorted = np.take_along_axis(vectors.T, self.order.astype(np.int64), axis=1)
+        self.order = np.argsort(-vectors, axis=0, kind="stable").T if order is None else order
+        self.order = np.ascontiguousarray(self.order, dtype=np.intp)
+        self.sorted = np.take_along_axis(vectors.T, self.order, axis=1)
         if starts is None:
             top, low = self.sorted[:, :1], self.sorted[:, -1:]
             step = np.maximum(top - low, 1) / levels
@@ -69,7 +70,7 @@ class BlockIndex:
     @classmethod
     def load(cls, blob: bytes) -> BlockIndex:
         vectors, order, starts, levels = pickle.loads(blob)
-        return cls(vectors.astype(np.int64), levels, order.astype(np.int32), starts.astype(np.int64))
+        return cls(vectors.astype(np.int64), levels, order, starts.astype(np.int64))
 
     def segments(self, query: np.ndarray) -> tuple[float, np.ndarray]:
         """Sum of the smallest products, and impacts[d, l]; zero for empty segments."""
@@ -108,11 +109,11 @@ class BlockIndex:
             now = (impacts > cut) & ~done
             done |= now
             where, weights = [], []
+            begin, end = now.argmax(axis=1).tolist(), (self.levels - now[:, ::-1].argmax(axis=1)).tolist()
             for d in np.flatnonzero(now.any(axis=1)).tolist():
-                levels = np.flatnonzero(now[d])
-                a, b = levels[0], levels[-1] + 1
+                a, b = begin[d], end[d]
                 where.append(self.order[d, self.starts[d, a] : self.starts[d, b]])
-                weights.append(np.repeat(impacts[d, a:b], self.sizes[d, a:b]))
+                weights.append(impacts[d, a:b].repeat(self.sizes[d, a:b]))
             if where:
                 sums += np.bincount(np.concatenate(where), np.concatenate(weights), n)
             open_ = np.where(done, 0, impacts).max(axis=1).sum() if impacts.size else 0
