@@ -13,11 +13,16 @@ and only texts with a common anchor need to meet. Work goes in blocks of documen
 Anchors in very many different strings, as at the ends of a passage that a third of all documents share, are dealt
 by window instead, so no place gathers them. Bytes are compared, not hashes, except in telling apart the strings of
 one block and anchor.
+
+Blocks and places grow in number with the corpus, and each has a partition of its own. A block sends every place one
+message, so from 1 TB on blocks grow too, with the square root of the corpus; their messages stay some hundred bytes long
+up to some hundred TB. Rows that are equal in id and text and would fill a block are taken once and get one result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -27,10 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import LAST_ID, Scratch, tasks
+from docloom.llm.common import Scratch, row_key, tasks
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES = 8 << 20
+#: Bytes of a block of documents at least, and of the corpus for each place that anchors are gathered at.
+BLOCK_BYTES, PLACE_BYTES = 8 << 20, 64 << 20
+#: What a row costs a block besides its text.
+ROW_BYTES = 200
 #: Bytes looked at together; longer texts are taken in overlapping stretches.
 STRETCH = 1 << 20
 #: Windows of a run at most.
@@ -399,7 +407,7 @@ def longest_previous(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, mo
     return out
 
 
-def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, crowd: int = CROWD, keep: list[str] | None = None, with_text: bool = True, scratch: Scratch | None = None) -> DataFrame:
+def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, place_bytes: int = PLACE_BYTES, crowd: int = CROWD, keep: list[str] | None = None, with_text: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """Columns `keep` of docs, n_bytes, n_removed, n_spans, kept (the remaining bytes as text or, if they aren't UTF-8,
     null) and kept_sha256, for each row of docs (doc_id, text; more are ignored).
 
@@ -409,16 +417,38 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_by
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "repeats")
-    keep = keep or ["doc_id"]
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = tasks(spark)
-    blocks = max(n, -(-total // block_bytes))
+    names = [f"keep_{c}" for c in keep or ["doc_id"]]
+    id_, row = row_key(F.col("doc_id"), F.col("text"))
+    base = docs.select(id_.alias("id"), row.alias("row"), F.col("text").cast("binary").alias("text"), *(F.col(c[5:]).alias(c) for c in names))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+    sizes = docs.select(id_.alias("id"), row.alias("row"), size.alias("bytes")).groupBy("id", "row").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = scratch.save(sizes, "sizes")
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    block_bytes = max(block_bytes, 8 * math.isqrt(total))
+    hot = scratch.save(sizes.where((F.col("n") > 1) & (F.col("bytes") > block_bytes)).select("id", "row"), "hot")
+    scratch.drop("sizes")
+    found = lambda df: _repeats(df, names, total, length, gram, block_bytes, place_bytes, crowd, with_text, scratch)
+    results = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    last = [*(F.col(c).alias(c[5:]) for c in names), *results]
+    if hot.isEmpty():
+        return found(base.withColumn("once", F.lit(False))).select(*last)
+    many = base.join(hot, ["id", "row"], "left_semi")
+    one = many.groupBy("id", "row").agg(F.first("text").alias("text")).withColumn("once", F.lit(True))
+    done = found(base.join(hot, ["id", "row"], "left_anti").withColumn("once", F.lit(False)).unionByName(one, allowMissingColumns=True))
+    done = scratch.save(done, "done")
+    again = many.drop("text").join(done.where("once").select("id", "row", *results), ["id", "row"])
+    return done.where("not once").select(*last).union(again.select(*last))
+
+
+def _repeats(rows: DataFrame, names: list[str], total: int, length: int, gram: int, block_bytes: int, place_bytes: int, crowd: int, with_text: bool, scratch: Scratch) -> DataFrame:
+    """id, row, once, `names` and the results for each of rows (id, row, text, once, `names`)."""
+    n = tasks(rows.sparkSession)
+    blocks, places = max(n, -(-total // block_bytes)), max(n, -(-total // place_bytes))
     bits = min(62, max(40, int(total // 12 + 1).bit_length() + 14))
-    cut = Cut(n, bits, length, gram, crowd)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    text = F.col("text").cast("binary")
-    dealt = docs.select(F.pmod(F.xxhash64(id_, "text"), F.lit(blocks)).cast("int").alias("block"), id_.alias("id"), text.alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    small = dealt.select("block", "id", "text")
+    cut = Cut(places, bits, length, gram, crowd)
+    passed = ["id", "row", "once", *names]
+    dealt = rows.select(F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int").alias("block"), "text", *passed).repartitionById(blocks, "block")
+    small = rows.select(F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int").alias("block"), "id", "text").repartitionById(blocks, "block")
     blob = "place int, block int, blob binary"
 
     def table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -440,8 +470,6 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_by
         place = t.column("place")[0].as_py()
         return table([(place, b, x) for b, x in cut.judged(t.column("block").to_pylist(), t.column("blob").to_pylist())])
 
-    names = [f.name for f in dealt.schema if f.name.startswith("keep_")]
-
     def five(t: pa.Table, replies: pa.Table) -> pa.Table:
         kind = np.array(replies.column("kind").to_pylist(), dtype=np.int64)
         block = cut.block(t)
@@ -456,16 +484,16 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_by
             for c, v in zip(out, (len(x), len(x) - len(left), spans, text_of(left) if with_text else None, hashlib.sha256(left).hexdigest()), strict=True):
                 c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table([*(t.column(c) for c in names), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        return pa.table([*(t.column(c) for c in passed), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[*passed, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    anchors = small.groupBy("block").applyInArrow(one, blob)
-    flags = scratch.save(anchors.groupBy("place").applyInArrow(two, blob), "flags")
-    strings = small.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(three, blob)
-    verdicts = scratch.save(strings.groupBy("place").applyInArrow(four, blob), "verdicts")
+    at_place = lambda df: df.repartitionById(places, "place").groupBy("place")
+    at_block = lambda df: df.repartitionById(blocks, "block").groupBy("block")
+    flags = scratch.save(at_place(small.groupBy("block").applyInArrow(one, blob)).applyInArrow(two, blob), "flags")
+    strings = small.groupBy("block").cogroup(at_block(flags)).applyInArrow(three, blob)
+    verdicts = scratch.save(at_place(strings).applyInArrow(four, blob), "verdicts")
     replies = flags.withColumn("kind", F.lit(1)).union(verdicts.withColumn("kind", F.lit(2)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name.startswith("keep_")), "n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string"])
-    done = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(five, schema)
-    return done.select(*(F.col(f"keep_{c}").alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    types = ", ".join([*(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in passed), "n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string"])
+    return dealt.groupBy("block").cogroup(at_block(replies)).applyInArrow(five, types)
 
 
 def in_order(flags: pa.Table) -> list[bytes]:

@@ -226,6 +226,25 @@ def test_repeats_odd(odd, options):
     same(got, brute_repeats(rows_of(odd)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def test_repeats_of_rows_that_fill_blocks(spark):
+    """Equal rows beyond a block's size are taken once, each with its result and its own columns."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = " ".join(word() for _ in range(30))
+    rows = [(5, f"{shared} and five {word()}"), *[(7, f"begin {word()} {shared}")] * 1] * 1 + [(9, "seven own words that nobody else has in this whole small table of texts")] * 40
+    rows += [(9, None)] * 30 + [(None, f"{shared} no id")] * 50 + [(7, f"another text of seven {shared}")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    got = substring_dedup.repeats(df, block_bytes=1000, keep=["n", "doc_id"])
+    same(got, brute_repeats(rows), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(r.n for r in got.collect()) == list(range(len(rows)))
+    assert {(r.n, r.doc_id) for r in got.collect()} == {(i, r[0]) for i, r in enumerate(rows)}
+
+
+def test_blocks_and_places_have_partitions_of_their_own(spark, odd):
+    plan = substring_dedup.repeats(odd.where("doc_id != 6"), block_bytes=10_000, place_bytes=50_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("shufflepartitionidpassthrough") == 2
+
+
 def test_repeats_periodic(spark):
     rng = random.Random(5)
     texts = ["ab" * 700, "ab" * 300 + "c", "x" * 49, "x" * 50, "x" * 51, "".join(rng.choice("ab") for _ in range(3000))]
