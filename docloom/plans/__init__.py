@@ -38,6 +38,6 @@ class Catalogue:
 
 
 def catalogues() -> list[Catalogue]:
-    from docloom.plans import answering, evaluation, graphs, ingestion, reading, rules, searching
+    from docloom.plans import answering, evaluation, graphs, ingestion, reading, records, rules, searching
 
-    return [reading.C, searching.C, graphs.C, evaluation.C, rules.C, ingestion.C, answering.C]
+    return [reading.C, searching.C, graphs.C, evaluation.C, rules.C, ingestion.C, answering.C, records.C]

@@ -12,9 +12,9 @@ from docloom.plans import Catalogue
 C = Catalogue()
 
 
-@C.add("SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_size <= 20 AND p_retailprice > 1000 AND contains(lower(p_name), 'a') ORDER BY p_partkey")
+@C.add("SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_size <= 20 AND p_retailprice > 901 AND contains(lower(p_name), 'g') ORDER BY p_partkey")
 def kg_read_range_contains(t):
-    return store.read(t("part"), {"p_size": Range(ge=10, le=20), "p_retailprice": Range(gt=1000), "p_name": Contains("A")}, fields=["p_partkey", "p_name", "p_size", "p_retailprice"], order_by="p_partkey")
+    return store.read(t("part"), {"p_size": Range(ge=10, le=20), "p_retailprice": Range(gt=901), "p_name": Contains("G")}, fields=["p_partkey", "p_name", "p_size", "p_retailprice"], order_by="p_partkey")
 
 
 @C.add("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 7")
