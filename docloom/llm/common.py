@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +157,14 @@ class Shipped:
         return SparkFiles.get(self.name)
 
 
+def give_back() -> None:
+    """Returns memory that freed arrays still hold to the system, so that later steps of the driver have it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with the GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions for a shuffle whose partition numbers matter."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import spread
-from docloom.llm.common import Scratch, rows, whole_row
+from docloom.llm.common import Scratch, give_back, rows, whole_row
 
 TERM = re.compile(r"\w+")
 #: Buckets of the term hash, lengths of word beginnings that are terms too.
@@ -81,12 +81,13 @@ def evidence(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
     return differs
 
 
-def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int = 8, rounds: int = 30, rate: float = 0.1, batch: int = 256, shrink: float = 1e-4, hide: float = 0.3, seed: int = 5, scale: np.ndarray | None = None, decay: float | None = None, start: float = 0.02) -> Machine:
+def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int = 8, rounds: int = 30, rate: float = 0.1, batch: int = 256, shrink: float = 1e-4, hide: float = 0.3, seed: int = 5, scale: np.ndarray | None = None, decay: float | None = None, start: float = 0.02, emptied: bool = False) -> Machine:
     """Logistic loss, minibatch AdaGrad. docs: positions in kept of each document's terms; y: 0 or 1. Deterministic.
 
     Every other round hides a share of each document's terms, so that one telling term suffices where training texts
     have many. A weight moves by scale (all 1 if None) or by its term's squared factors, if they are larger: what tells
-    only in pairs gets a weight too. decay shrinks the factors (as shrink if None), which begin near `start`.
+    only in pairs gets a weight too. decay shrinks the factors (as shrink if None), which begin near `start`. emptied: docs are given up one by one as they
+    are rearranged, which saves holding them twice.
     """
     rng = np.random.default_rng(seed)
     k, n = len(kept), len(docs)
@@ -102,6 +103,9 @@ def fit(kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, *, rank: int =
         part = order[a : a + batch]
         cols = np.concatenate([docs[i] for i in part])
         sizes = np.array([len(docs[i]) for i in part])
+        if emptied:
+            for i in part:
+                docs[i] = None
         by = np.argsort(cols, kind="stable").astype(np.int32)
         new = np.diff(cols[by], prepend=-1) != 0
         at = np.empty(len(cols), dtype=np.int32)
@@ -204,8 +208,10 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
         model = fit(term, at, y)
     else:
         length = max(sum(map(len, at)) / len(at), 1.0)
-        model = fit(term, at, y, rate=0.2, batch=min(256, max(16, len(at) // 16)), scale=evidence(a, b, n1, n0), decay=length / len(at), start=min(0.02, 0.1 / length**0.5))
+        model = fit(term, at, y, rate=0.2, batch=min(256, max(16, len(at) // 16)), scale=evidence(a, b, n1, n0), decay=length / len(at), start=min(0.02, 0.1 / length**0.5), emptied=True)
     model.place = place
+    del got, at, sums
+    give_back()
     return model
 
 
