@@ -195,6 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[term] = np.cumsum(new) - 1
     term, a, b = term[new], a[new].astype(float), b[new].astype(float)
+    del sums, same, new, order
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,13 +205,15 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST
     got = seen.mapInArrow(placed, "_id long, _toxic int, at binary").toArrow().sort_by([("_id", "ascending"), ("at", "ascending")])
     at = [np.cumsum(np.frombuffer(zlib.decompress(x.as_py()), dtype="<i4"), dtype=np.int32) for x in got.column("at")]
     y = got.column("_toxic").to_numpy().astype(float)
+    del got
+    give_back()
     if not n1 or not n0:
         model = fit(term, at, y)
     else:
         length = max(sum(map(len, at)) / len(at), 1.0)
         model = fit(term, at, y, rate=0.2, batch=min(256, max(16, len(at) // 16)), scale=evidence(a, b, n1, n0), decay=length / len(at), start=min(0.02, 0.1 / length**0.5), emptied=True)
     model.place = place
-    del got, at, sums
+    del at
     give_back()
     return model
 
