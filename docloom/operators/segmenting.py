@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import spread
-from docloom.functions.text import alnum
+from docloom.functions.text import ENUMERATION, alnum
 
 #: Abbreviations whose point ends no sentence, kinds of layout items, an item's number and a list's line.
 ABBREVIATIONS = "e.g i.e etc vs cf approx appr ca no nos ref req fig figs dia min max avg std vol est dept mr mrs ms dr st jr sr inc ltd co".split()
@@ -37,6 +37,11 @@ SENTENCE_GAP = re.compile(
     rf"|(?<!\S)[(\[\"']*(?i:{'|'.join(map(re.escape, sorted(ABBREVIATIONS, key=len, reverse=True)))})[.?!\"')\]]*\.{CLOSERS}(?=\s)"
     rf"|[.?!]{CLOSERS}(\s+)(?=[A-Z0-9\"'(\[])"
 )
+#: Abbreviations whose point ends no provision, and the marks that open one.
+LEGAL_ABBREVIATIONS = "inc corp co ltd llc llp plc no nos art sec secs para paras cf vs v mr mrs ms dr st ave etc al viz e.g i.e u.s u.s.c".split()
+ENUMERATED = re.compile(r"(?:(?<=\s)|(?<=[.;:])|\A)\s*(\(\s*(?:[a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\s*\)|(?:[a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\)|\d+(?:\.\d+){1,3}\.?|§+)\s+(?=[A-Z\"'(])")
+#: An abbreviation or a number's point, passed over, or else (group 1) the mark and space between two provisions.
+PROVISION_GAP = re.compile(rf"(?<![A-Za-z.])\.*(?i:{'|'.join(map(re.escape, sorted(LEGAL_ABBREVIATIONS, key=len, reverse=True)))})\.+(?=\s)|\d\.(?=\s)|([.;:]\s+)(?=[A-Z\"'(])")
 #: Where a text that is too long is best cut, best first, and the share of a piece that must lie before it.
 BREAKS = ((re.compile(r"(?s).*(\n\n)"), 0.5), (re.compile(r"(?s).*(\n)"), 0.0), (re.compile(r"(?s).*([ \t])"), 0.0))
 PIPE_BLOCK = re.compile(r"(?m)^[ \t]*\|.*(?:\n[ \t]*\|.*)*")
@@ -183,6 +188,39 @@ def spans_of(text: str, least: int = 2) -> list[tuple[int, int, str]]:
     return list(zip(edges[:-1], edges[1:], [kinds[min(first, len(kinds) - 1)], *(kinds[i] for i in begins)], strict=True))
 
 
+def short_or_heading(text: str, least: int) -> bool:
+    """Whether a text can't stand alone: fewer than `least` characters, or a bare heading."""
+    bare = text.strip()
+    title = re.sub(ENUMERATION, "", bare, count=1)
+    return len(bare) < least or len(bare) <= 60 and title[:1].isupper() and not re.search("[.;:]", title)
+
+
+def legal_spans_of(text: str, least: int = 25) -> list[tuple[int, int, str]]:
+    """Spans (start, end, kind) of a contract's text, which they tile: a table of two rows or more is one, elsewhere one ends
+    at a line's end, after a point, semicolon or colon before a capital, quote or bracket, and before an enumeration mark.
+    What can't stand alone goes with the span that follows, or with the one before if none does."""
+    tables = [(m.start(), min(m.end() + 1, len(text))) for m in PIPE_BLOCK.finditer(text) if "\n" in m[0]]
+    starts = [a for a, _ in tables]
+
+    def in_table(at: int) -> bool:
+        i = bisect_right(starts, at) - 1
+        return i >= 0 and tables[i][0] < at < tables[i][1]
+
+    found = [m.end() for m in re.finditer(r"\n+", text)]
+    found += [m.start(1) for m in ENUMERATED.finditer(text)]
+    found += [m.end(1) for m in PROVISION_GAP.finditer(text) if m[1]]
+    edges = sorted({0, len(text), *(x for ab in tables for x in ab), *(x for x in found if not in_table(x))})
+    out: list[tuple[int, int, str]] = []
+    begin = 0
+    for end in edges[1:]:
+        if end == len(text) or not short_or_heading(text[begin:end], least):
+            out.append((begin, end, "table" if begin in starts else "provision"))
+            begin = end
+    if len(out) > 1 and short_or_heading(text[slice(*out[-1][:2])], least):
+        out[-2:] = [(out[-2][0], out[-1][1], out[-2][2])]
+    return out
+
+
 def headed_tables(text: str) -> list[tuple[int, int, str]]:
     """start, end and header with its rule of the pipe tables that have one."""
     out = []
@@ -242,9 +280,11 @@ def chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:
     return exploded(docs, lambda t: [(x,) for x in hard_split(t, cap)] if t.strip() else [], "text string", ["text"])
 
 
-def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id") -> DataFrame:
-    """chunk_id, n, start, end, kind, text, error. Blank spans are dropped after numbering, so numbers may have gaps."""
-    made = exploded(chunk, lambda t: [(a, b, k, t[a:b]) for a, b, k in spans_of(t, least)], "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col)
+def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id", of: Callable[[str], list[tuple[int, int, str]]] | None = None) -> DataFrame:
+    """chunk_id, n, start, end, kind, text, error, by spans_of() or another segmenter. Blank spans are dropped after numbering,
+    so numbers may have gaps."""
+    cut = of or (lambda t: spans_of(t, least))
+    made = exploded(chunk, lambda t: [(a, b, k, t[a:b]) for a, b, k in cut(t)], "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col)
     return made.where(F.col("error").isNotNull() | (F.btrim(F.regexp_replace("text", r"\s", "")) != ""))
 
 

@@ -212,8 +212,63 @@ def test_wrapped_lines_of_the_query(spark, sf, texts):
     assert {i: [x for _, x in sorted(v)] for i, v in got.items()} == want
 
 
+def plain_legal(text, least=25):
+    """Every position asked whether a provision can begin there."""
+    if not text:
+        return []
+    lines, at = [], 0
+    for line in text.split("\n"):
+        lines.append((at, min(at + len(line) + 1, len(text)), line.lstrip(" \t").startswith("|")))
+        at += len(line) + 1
+    tables = []
+    for a, b, pipe in lines:
+        if pipe and tables and tables[-1][1] == a and tables[-1][2]:
+            tables[-1] = (tables[-1][0], b, True, tables[-1][3] + 1)
+        else:
+            tables.append((a, b, pipe, 1))
+    tables = [(a, b) for a, b, pipe, n in tables if pipe and n > 1]
+
+    def begins(i):
+        before, after = text[:i], text[i:]
+        if any(a < i < b for a, b in tables):
+            return False
+        if any(i in ab for ab in tables) or before.endswith("\n") and not after.startswith("\n"):
+            return True
+        mark = re.match(r"(\(\s*([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\s*\)|([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\)|\d+(\.\d+){1,3}\.?|§+)\s+[A-Z\"'(]", after)
+        if mark and (not before or before[-1].isspace() or before[-1] in ".;:"):
+            return True
+        gap = re.search(r"([.;:])\s+$", before)
+        if not gap or not re.match(r"[A-Z\"'(]", after):
+            return False
+        word = re.search(r"[A-Za-z.]+$", before[: gap.start()])
+        return gap[1] != "." or not (before[gap.start() - 1 : gap.start()].isdigit() or word and word[0].strip(".").lower() in S.LEGAL_ABBREVIATIONS)
+
+    edges = [0, *(i for i in range(1, len(text)) if begins(i)), len(text)]
+    out, a = [], 0
+    for b in edges[1:]:
+        if b == len(text) or not S.short_or_heading(text[a:b], least):
+            out.append((a, b))
+            a = b
+    if len(out) > 1 and S.short_or_heading(text[out[-1][0] : out[-1][1]], least):
+        out[-2:] = [(out[-2][0], out[-1][1])]
+    return out
+
+
+def test_legal_spans(texts):
+    one = "1. Term\nThis Agreement runs for two years from the date, under Sec. 12.1 hereof. It renews; Provided that (a) The parties agree. (b) No notice is given to Acme Inc. of New York."
+    spans = [one[a:b] for a, b, _ in S.legal_spans_of(one)]
+    assert spans[0].startswith("1. Term\nThis Agreement") and spans[0].endswith("hereof. ") and spans[-1].startswith("(b) No notice") and spans[-1].endswith("New York.")
+    table = "Fees are listed in the schedule below.\n| a | b |\n|---|---|\n| 1 | 2. Next |\nThe end of the schedule is here."
+    assert [k for *_, k in S.legal_spans_of(table)] == ["provision", "table", "provision"]
+    few = [t for t in texts.values() if len(t) < 1500]
+    for t in [one, table, *made(400, 6), *few]:
+        got = S.legal_spans_of(t)
+        assert "".join(t[a:b] for a, b, _ in got) == t and [(a, b) for a, b, _ in got] == plain_legal(t), t
+    assert S.legal_spans_of("") == []
+
+
 @pytest.mark.parametrize("text", ["The quick brown fox. Jumps over (e.g. it) the dog. " * 20_000, " " * 1_000_000, "a" * 1_000_000, "." * 1_000_000, "\n" * 1_000_000, "-" * 1_000_000 + "x", "| a " * 250_000])
 def test_long_texts_take_no_time(text):
     began = time.time()
-    S.spans_of(text), S.hard_split(text, 24_000)
-    assert time.time() - began < 1
+    S.spans_of(text), S.hard_split(text, 24_000), S.legal_spans_of(text)
+    assert time.time() - began < 2
