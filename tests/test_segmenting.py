@@ -235,7 +235,8 @@ def plain_legal(text, least=25):
         if any(i in ab for ab in tables) or before.endswith("\n") and not after.startswith("\n"):
             return True
         mark = re.match(r"(\(\s*([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\s*\)|([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\)|\d+(\.\d+){1,3}\.?|§+)\s+[A-Z\"'(]", after)
-        if mark and (not before or before[-1].isspace() or before[-1] in ".;:"):
+        inside = re.search(r"(?:^|[\s.;:])\d+\.(?:\d+\.)*$", before) and after[:1].isdigit()  # of a number that has begun
+        if mark and not inside and (not before or before[-1].isspace() or before[-1] in ".;:"):
             return True
         gap = re.search(r"([.;:])\s+$", before)
         if not gap or not re.match(r"[A-Z\"'(]", after):
