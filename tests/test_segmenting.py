@@ -228,15 +228,22 @@ def plain_legal(text, least=25):
             tables.append((a, b, pipe, 1))
     tables = [(a, b) for a, b, pipe, n in tables if pipe and n > 1]
 
+    marks, at = set(), 0
+    while at < len(text):  # from left to right, none inside another
+        m = re.match(r"(\(\s{0,3}([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\s{0,3}\)|([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\)|\d+(\.\d+){1,3}\.?|§+)\s+(?=[A-Z\"'(])", text[at:])
+        if m and (not at or text[at - 1].isspace() or text[at - 1] in ".;:"):
+            marks.add(at)
+            at += m.end()
+        else:
+            at += 1
+
     def begins(i):
         before, after = text[:i], text[i:]
         if any(a < i < b for a, b in tables):
             return False
         if any(i in ab for ab in tables) or before.endswith("\n") and not after.startswith("\n"):
             return True
-        mark = re.match(r"(\(\s*([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\s*\)|([a-zA-Z]|[ivxlcdm]{1,4}|\d{1,3})\)|\d+(\.\d+){1,3}\.?|§+)\s+[A-Z\"'(]", after)
-        inside = re.search(r"(?:^|[\s.;:])\d+\.(?:\d+\.)*$", before) and after[:1].isdigit()  # of a number that has begun
-        if mark and not inside and (not before or before[-1].isspace() or before[-1] in ".;:"):
+        if i in marks:
             return True
         gap = re.search(r"([.;:])\s+$", before)
         if not gap or not re.match(r"[A-Z\"'(]", after):
