@@ -5,6 +5,9 @@ Rules and facts are DataFrames; scopes are maps of dimension to a list of values
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +69,33 @@ def top_rules(scored: DataFrame, context: int = 3, content: int = 5) -> DataFram
     return scored.withColumn("rank", place).where(F.col("rank") <= most)
 
 
+def columns_read(left: DataFrame, right: DataFrame, on: Column, c: Column) -> tuple[list[str], list[str]]:
+    """Names of the columns of each side that an expression over their join reads."""
+    met = left.join(right, on)
+    ids = lambda attributes: [attributes.apply(i).exprId().id() for i in range(attributes.size())]
+    read = set(ids(met.select(c)._jdf.queryExecution().analyzed().references().toSeq()))
+    hit = [i in read for i in ids(met._jdf.queryExecution().analyzed().output())]
+    n = len(left.columns)
+    return [x for x, h in zip(left.columns, hit[:n], strict=True) if h], [x for x, h in zip(right.columns, hit[n:], strict=True) if h]
+
+
 def defenses(prohibitions: DataFrame, permissions: DataFrame, score: Column, top: int = 3) -> DataFrame:
-    """Up to `top` permissions of each prohibition's source, best first."""
-    p, d = prohibitions.alias("p"), permissions.alias("d")
-    met = p.join(d, F.col("p.source") == F.col("d.source")).select(F.col("p.rule_id").alias("rule_id"), F.col("d.rule_id").alias("defense"), score.alias("score"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("score"), "defense"))).where(F.col("rank") <= top)
+    """Up to `top` permissions of each prohibition's source, best first, ties by rule_id. score reads columns of p and d.
+
+    Rules of one source that are equal in what the score reads are a class: classes meet, a class of permissions with its
+    `top` first ids, and each prohibition takes what its class gets. So pairs grow with the classes of a source, not with
+    its rules; a score that reads rule_id makes each rule a class.
+    """
+    p, d, same = prohibitions.alias("p"), permissions.alias("d"), F.col("p.source") == F.col("d.source")
+    of_p, of_d = (list(dict.fromkeys(["source", *x])) for x in columns_read(p, d, same, score))
+    place = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    last = F.asc_nulls_last("defense")
+    first = permissions.select(*of_d, F.col("rule_id").alias("defense")).withColumn("_n", place(of_d, last)).where(F.col("_n") <= top).drop("_n")
+    met = prohibitions.select(*of_p).distinct().alias("p").join(first.alias("d"), same).select(*(F.col(f"p.{x}").alias(f"_class_{x}") for x in of_p), "d.defense", score.alias("score"))
+    best = met.withColumn("_n", place([f"_class_{x}" for x in of_p], F.desc("score"), last)).where(F.col("_n") <= top)
+    each = prohibitions.select("rule_id", *(x for x in of_p if x != "rule_id"))
+    taken = each.join(best, reduce(and_, (F.col(x).eqNullSafe(F.col(f"_class_{x}")) for x in of_p))).select("rule_id", "defense", "score")
+    return taken.withColumn("rank", place(["rule_id"], F.desc("score"), last)).where(F.col("rank") <= top)
 
 
 def subject_scope(facts: DataFrame) -> DataFrame:

@@ -386,6 +386,32 @@ def test_ingest_and_search(spark):
     assert flows.ingest(docs, done=done).documents.count() == 0
 
 
+def test_defenses_meet_by_classes(spark):
+    """Equal rules meet once, and ranks are those of all pairs: copies, repeated and null ids, null features."""
+    import random
+
+    r = random.Random(1)
+    rule = lambda n: [(i if i % 37 else None, r.choice("ab"), r.choice([1, 2, 5, None]), f"text {i}") for i in (*range(n), 3, 3)]
+    p, d = rule(150), rule(140)
+    frame = lambda x: spark.createDataFrame(x, "rule_id long, source string, size int, text string").repartition(3)
+    asked = spark.sparkContext.accumulator(0)
+
+    def closeness(a, b):
+        asked.add(1)
+        return None if a is None or b is None else -abs(a - b)
+
+    got = compliance.defenses(frame(p), frame(d), F.udf(closeness, "int")("p.size", "d.size")).collect()
+    assert 0 < asked.value <= 2 * 4 * 4 * 3
+    by_id: dict = {}
+    for a in p:
+        by_id.setdefault(a[0], []).extend((closeness(a[2], b[2]), b[0]) for b in d if a[1] == b[1])
+    best = {k: sorted(v, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] is None, x[1] or 0))[:3] for k, v in by_id.items()}
+    want = [(k, b, s, n) for k, v in best.items() for n, (s, b) in enumerate(v, 1)]
+    assert sorted(map(str, ((x.rule_id, x.defense, x.score, x["rank"]) for x in got))) == sorted(map(str, want))
+    ids = compliance.defenses(frame(p), frame(d), -F.abs(F.col("p.rule_id") - F.col("d.rule_id")), 1).where("rule_id = 10")
+    assert [(x.defense, x.score) for x in ids.collect()] == [max(((b[0], -abs(10 - b[0])) for b in d if b[0] is not None and b[1] == p[10][1]), key=lambda x: (x[1], -x[0]))]
+
+
 def test_compliance_flow(spark):
     one_scope = F.create_map(F.lit("p"), F.array(F.lit("x")))
     facts = spark.createDataFrame([("f1", "d", "ad", "we promise gains"), ("f2", "d", "ad", "fine print")], "fact_id string, document string, claim_type string, text string").withColumn("fact_scope", one_scope)
