@@ -1,6 +1,6 @@
 """From documents to chunks, spans and units.
 
-What is a fold over one text is a Python function of that text, applied by mapInPandas to the rows as they lie: no
+What is a fold over one text is a Python function of that text, applied by mapInArrow to the rows as they lie: no
 shuffle. What runs over the rows of a document is windows.
 """
 
@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docloom.functions import spread
 from docloom.functions.text import ENUMERATION, alnum
@@ -46,6 +49,8 @@ PROVISION_GAP = re.compile(rf"(?<![A-Za-z.])\.{{0,3}}(?i:{'|'.join(map(re.escape
 BREAKS = ((re.compile(r"(?s).*(\n\n)"), 0.5), (re.compile(r"(?s).*(\n)"), 0.0), (re.compile(r"(?s).*([ \t])"), 0.0))
 PIPE_BLOCK = re.compile(r"(?m)^[ \t]*\|.*(?:\n[ \t]*\|.*)*")
 PIPE = re.compile(r"[ \t]*\|")
+#: Rows that a task makes before it hands them on.
+MANY = 8192
 
 
 def layout_kind(label: Column) -> Column:
@@ -258,21 +263,37 @@ def hard_split(text: str, cap: int) -> list[str]:
     return out
 
 
-def exploded(docs: DataFrame, f: Callable[[str], list[tuple]], schema: str, names: list[str], id_col: str = "doc_id") -> DataFrame:
-    """id, n and the fields of each tuple that f makes of a text; a text on which f fails gives one row with `error`."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def exploded(docs: DataFrame, f: Callable[[str], list[tuple]], schema: str, names: list[str], id_col: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """id, the carried columns, n and the fields of each tuple that f makes of a text; a text on which f fails gives one row
+    with `error`."""
+    kept = [id_col, *carry]
+    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n int", schema, "error string"])
+    fields = list(to_arrow_schema(StructType.fromDDL(ddl)))[len(kept) :]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, text in zip(b[id_col], b["text"], strict=True):
+            of: list[int] = []
+            out: list[tuple] = []
+
+            def made() -> pa.RecordBatch:
+                columns = zip(*out, strict=True) if out else [()] * len(fields)
+                left = [b.column(b.schema.get_field_index(c)).take(pa.array(of, pa.int64())) for c in kept]
+                return pa.record_batch([*left, *(pa.array(c, k.type) for c, k in zip(columns, fields, strict=True))], names=[*kept, *(k.name for k in fields)])
+
+            texts = b.column(b.schema.get_field_index("text"))
+            for i, text in enumerate(texts):
                 try:
-                    out += [(i, n, *x, None) for n, x in enumerate(f(text or ""))]
+                    got = [(n, *x, None) for n, x in enumerate(f(text.as_py() or ""))]
                 except Exception as e:  # a text that a hook can't take is reported, the others go on
-                    out.append((i, None, *([None] * len(names)), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[id_col, "n", *names, "error"]).astype(object)
+                    got = [(None, *([None] * len(names)), f"{type(e).__name__}: {e}")]
+                out += got
+                of += [i] * len(got)
+                if len(out) >= MANY:
+                    yield made()
+                    of, out = [], []
+            yield made()
 
-    return spread(docs.select(id_col, "text")).mapInPandas(run, f"{id_col} {kind}, n int, {schema}, error string")
+    return spread(docs.select(*kept, "text")).mapInArrow(run, ddl)
 
 
 def chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:
@@ -280,11 +301,21 @@ def chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:
     return exploded(docs, lambda t: [(x,) for x in hard_split(t, cap)] if t.strip() else [], "text string", ["text"])
 
 
-def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id", of: Callable[[str], list[tuple[int, int, str]]] | None = None) -> DataFrame:
-    """chunk_id, n, start, end, kind, text, error, by spans_of() or another segmenter. Blank spans are dropped after numbering,
-    so numbers may have gaps."""
+def placed_chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:
+    """chunks() with chunk_start: where each begins in the text that joins a document's chunks with a blank line."""
+
+    def f(t: str) -> list[tuple]:
+        parts = hard_split(t, cap) if t.strip() else []
+        return list(zip(parts, accumulate((len(x) + 2 for x in parts), initial=0)))  # noqa: B905
+
+    return exploded(docs, f, "text string, chunk_start long", ["text", "chunk_start"])
+
+
+def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id", of: Callable[[str], list[tuple[int, int, str]]] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """chunk_id, n, start, end, kind, text, error, by spans_of() or another segmenter, and the chunk's carried columns.
+    Blank spans are dropped after numbering, so numbers may have gaps."""
     cut = of or (lambda t: spans_of(t, least))
-    made = exploded(chunk, lambda t: [(a, b, k, t[a:b]) for a, b, k in cut(t)], "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col)
+    made = exploded(chunk, lambda t: [(a, b, k, t[a:b]) for a, b, k in cut(t)], "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col, carry)
     return made.where(F.col("error").isNotNull() | (F.btrim(F.regexp_replace("text", r"\s", "")) != ""))
 
 
@@ -306,25 +337,38 @@ def units(span: DataFrame, decided: Column | None = None, by: str = "doc_id") ->
     return k.withColumn("unit", F.sum(F.col("_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_start")
 
 
+def unit_parts(kinds: list[str | None], texts: list[str], cap: int) -> list[str]:
+    """Parts under the cap of a unit's spans in order; a table's later parts repeat its header."""
+    texts = [t.strip() for t in texts]
+    head = texts[0] if "table_row" in kinds else ""
+    parts: list[list[str]] = [[]]
+    size = -1  # of the last part's texts, joined
+    for t in texts:
+        carried = len(head) + 1 if head and len(parts) > 1 else 0
+        if parts[-1] and carried + size + 1 + len(t) > cap:
+            parts.append([])
+            size = -1
+        parts[-1].append(t)
+        size += 1 + len(t)
+    return ["\n".join(([head] if head and i else []) + p) for i, p in enumerate(parts)]
+
+
 def capped_units(unit: DataFrame, cap: int = 6000, by: str = "doc_id") -> DataFrame:
     """doc_id, unit, part, text: a unit's spans in parts under the cap; a table's later parts repeat its header. A fold
     over one unit's spans, which the chunk cap bounds."""
     kind = unit.schema[by].dataType.simpleString()
+    whole = unit.groupBy(by, "unit").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("s")).select(by, "unit", F.col("s")["kind"].alias("kinds"), F.col("s")["text"].alias("texts"))
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        texts = [t.strip() for t in g["text"]]
-        head = texts[0] if (g["kind"] == "table_row").any() else ""
-        parts: list[list[str]] = [[]]
-        for t in texts:
-            carried = [head] if head and len(parts) > 1 else []
-            if parts[-1] and len("\n".join([*carried, *parts[-1], t])) > cap:
-                parts.append([])
-            parts[-1].append(t)
-        body = ["\n".join(([head] if head and i else []) + p) for i, p in enumerate(parts)]
-        return pd.DataFrame({by: g[by].iloc[0], "unit": g["unit"].iloc[0], "part": range(len(body)), "text": body})
-
-    return unit.groupBy(by, "unit").applyInPandas(fold, f"{by} {kind}, unit long, part int, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [unit_parts(k.as_py(), t.as_py(), cap) for k, t in zip(b.column(2), b.column(3), strict=True)]
+            of = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            yield pa.record_batch(
+                [b.column(0).take(of), b.column(1).cast(pa.int64()).take(of), pa.array([i for p in parts for i in range(len(p))], pa.int32()), pa.array([t for p in parts for t in p], pa.string())],
+                names=[by, "unit", "part", "text"],
+            )
+
+    return whole.mapInArrow(run, f"`{by}` {kind}, unit long, part int, text string")
 
 
 def table_rows(tables: DataFrame) -> DataFrame:

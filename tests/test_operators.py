@@ -1,5 +1,7 @@
 """Operators on small cases made by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,6 +414,49 @@ def test_defenses_meet_by_classes(spark):
     assert [(x.defense, x.score) for x in ids.collect()] == [max(((b[0], -abs(10 - b[0])) for b in d if b[0] is not None and b[1] == p[10][1]), key=lambda x: (x[1], -x[0]))]
 
 
+def test_ingestion_runs_each_stage_once(spark):
+    """The report and every table of an ingestion ask each hook once a text; rows that share an id or are equal stay apart."""
+    first = "Scope\n\nThe buyer pays a fee. The seller ships it.\n\nTerm\n\nOne year passes."
+    docs = spark.createDataFrame([("a b", first), ("a_b", "Other words stand here. They end."), ("c", first), ("c", first), ("d", None)], "doc_id string, text string")
+    asked = {name: spark.sparkContext.accumulator(0) for name in ("embed", "tag", "extract")}
+
+    def counted(name, hook):
+        def f(texts):
+            asked[name].add(len(texts))
+            return hook(texts)
+
+        return f
+
+    got = flows.ingest(docs, embed=counted("embed", hooks.HashEmbedder(4)), tag=counted("tag", lambda ts: ["T"] * len(ts)), extract=counted("extract", lambda ts: ts))
+    n = {k: getattr(got, k).count() for k in ("chunks", "spans", "units", "records", "dead")}
+    report = {(r.doc_id, r.chunks, r.spans, r.units, r.failures) for r in got.report().collect()}
+    assert {k: v.value for k, v in asked.items()} == {"embed": n["spans"], "tag": n["spans"], "extract": n["units"]}
+    alone = flows.ingest(docs.limit(1)).report().first()
+    assert n["chunks"] == 4 and ("c", 2, 2 * alone.spans, 2 * alone.units, 0) in report and ("d", 0, 0, 0, 0) in report
+    units = sorted(r.text for r in got.units.where("doc_id = 'c'").collect())
+    assert units[::2] == units[1::2] == sorted(r.text for r in flows.ingest(docs.limit(1)).units.collect())
+    assert "Other words stand here.\nThey end." in {r.text for r in got.units.where("doc_id = 'a_b'").collect()}
+
+
+def test_embedder_and_unless(spark):
+    """Vectors equal a plain sum by word; a hook isn't asked about rows that failed before."""
+    import hashlib
+    import math
+
+    texts = ["One two two", "", "x9 y-z One", "...", "a b c d e f g a a a"]
+    for size in (3, 16):
+        for t, got in zip(texts, hooks.HashEmbedder(size)(texts), strict=True):
+            v = [0.0] * size
+            for w in re.findall(r"[a-z0-9]+", t.lower()):
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                v[h % size] += 1.0 if h >> 63 else -1.0
+            norm = math.sqrt(sum(x * x for x in v))
+            assert got == ([x / norm for x in v] if norm else v)
+    df = spark.createDataFrame([("a", None), (None, "failed"), ("b", None)], "text string, bad string")
+    out = hooks.over(df, lambda ts: [t.upper() for t in ts if t or 1 / 0], "string", unless="bad").collect()
+    assert sorted((str(r.out), str(r.error)) for r in out) == [("A", "None"), ("B", "None"), ("None", "None")]
+
+
 def test_compliance_flow(spark):
     one_scope = F.create_map(F.lit("p"), F.array(F.lit("x")))
     facts = spark.createDataFrame([("f1", "d", "ad", "we promise gains"), ("f2", "d", "ad", "fine print")], "fact_id string, document string, claim_type string, text string").withColumn("fact_scope", one_scope)
