@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from docloom.functions import spread
-from docloom.functions.text import ENUMERATION, alnum
+from docloom.functions.text import ENUMERATION
 
 #: Abbreviations whose point ends no sentence, kinds of layout items, an item's number and a list's line.
 ABBREVIATIONS = "e.g i.e etc vs cf approx appr ca no nos ref req fig figs dia min max avg std vol est dept mr mrs ms dr st jr sr inc ltd co".split()
@@ -47,10 +48,15 @@ ENUMERATED = re.compile(r"(?:(?<=\s)|(?<=[.;:])|\A)(\(\s{0,3}(?:[a-zA-Z]|[ivxlcd
 PROVISION_GAP = re.compile(rf"(?<![A-Za-z.])\.{{0,3}}(?i:{'|'.join(map(re.escape, sorted(LEGAL_ABBREVIATIONS, key=len, reverse=True)))})\.+(?=\s)|\d\.(?=\s)|([.;:]\s+)(?=[A-Z\"'(])")
 #: Where a text that is too long is best cut, best first, and the share of a piece that must lie before it.
 BREAKS = ((re.compile(r"(?s).*(\n\n)"), 0.5), (re.compile(r"(?s).*(\n)"), 0.0), (re.compile(r"(?s).*([ \t])"), 0.0))
+#: Two letters or digits, wherever they are.
+TWO_ALNUM = r"[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}]"
+BLANK = " \t\n\x0b\x0c\r"
 PIPE_BLOCK = re.compile(r"(?m)^[ \t]*\|.*(?:\n[ \t]*\|.*)*")
 PIPE = re.compile(r"[ \t]*\|")
-#: Rows that a task makes before it hands them on.
-MANY = 8192
+#: Rows that a task makes, and characters that it reads, before it hands on what it has.
+MANY, LONG = 8192, 4_000_000
+#: What the Python worker that makes rows does to them at once: the columns that it adds and a function that adds them.
+Step = tuple[str, Callable[[pa.RecordBatch], pa.RecordBatch]]
 
 
 def layout_kind(label: Column) -> Column:
@@ -263,37 +269,37 @@ def hard_split(text: str, cap: int) -> list[str]:
     return out
 
 
-def exploded(docs: DataFrame, f: Callable[[str], list[tuple]], schema: str, names: list[str], id_col: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+def exploded(docs: DataFrame, f: Callable[[str], list[tuple | None]], schema: str, names: list[str], id_col: str = "doc_id", carry: Sequence[str] = (), then: Sequence[Step] = ()) -> DataFrame:
     """id, the carried columns, n and the fields of each tuple that f makes of a text; a text on which f fails gives one row
-    with `error`."""
+    with `error`. What f gives as None has a number and no row. Steps add their columns in the same worker."""
     kept = [id_col, *carry]
-    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n int", schema, "error string"])
-    fields = list(to_arrow_schema(StructType.fromDDL(ddl)))[len(kept) :]
+    own = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n int", schema, "error string"])
+    fields = list(to_arrow_schema(StructType.fromDDL(own)))[len(kept) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of: list[int] = []
-            out: list[tuple] = []
-
-            def made() -> pa.RecordBatch:
-                columns = zip(*out, strict=True) if out else [()] * len(fields)
-                left = [b.column(b.schema.get_field_index(c)).take(pa.array(of, pa.int64())) for c in kept]
-                return pa.record_batch([*left, *(pa.array(c, k.type) for c, k in zip(columns, fields, strict=True))], names=[*kept, *(k.name for k in fields)])
+        def made(b: pa.RecordBatch, of: list[int], out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(fields)
+            left = [b.column(b.schema.get_field_index(c)).take(pa.array(of, pa.int64())) for c in kept]
+            done = pa.record_batch([*left, *(pa.array(c, k.type) for c, k in zip(columns, fields, strict=True))], names=[*kept, *(k.name for k in fields)])
+            return reduce(lambda x, step: step[1](x), then, done)
 
-            texts = b.column(b.schema.get_field_index("text"))
-            for i, text in enumerate(texts):
+        for b in batches:
+            of, out, size = [], [], 0
+            for i, text in enumerate(b.column(b.schema.get_field_index("text"))):
+                t = text.as_py() or ""
                 try:
-                    got = [(n, *x, None) for n, x in enumerate(f(text.as_py() or ""))]
+                    got = [(n, *x, None) for n, x in enumerate(f(t)) if x is not None]
                 except Exception as e:  # a text that a hook can't take is reported, the others go on
                     got = [(None, *([None] * len(names)), f"{type(e).__name__}: {e}")]
                 out += got
                 of += [i] * len(got)
-                if len(out) >= MANY:
-                    yield made()
-                    of, out = [], []
-            yield made()
+                size += len(t)
+                if len(out) >= MANY or size >= LONG:
+                    yield made(b, of, out)
+                    of, out, size = [], [], 0
+            yield made(b, of, out)
 
-    return spread(docs.select(*kept, "text")).mapInArrow(run, ddl)
+    return spread(docs.select(*kept, "text")).mapInArrow(run, ", ".join([own, *(ddl for ddl, _ in then)]))
 
 
 def chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:
@@ -311,12 +317,12 @@ def placed_chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:
     return exploded(docs, f, "text string, chunk_start long", ["text", "chunk_start"])
 
 
-def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id", of: Callable[[str], list[tuple[int, int, str]]] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id", of: Callable[[str], list[tuple[int, int, str]]] | None = None, carry: Sequence[str] = (), then: Sequence[Step] = ()) -> DataFrame:
     """chunk_id, n, start, end, kind, text, error, by spans_of() or another segmenter, and the chunk's carried columns.
     Blank spans are dropped after numbering, so numbers may have gaps."""
     cut = of or (lambda t: spans_of(t, least))
-    made = exploded(chunk, lambda t: [(a, b, k, t[a:b]) for a, b, k in cut(t)], "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col, carry)
-    return made.where(F.col("error").isNotNull() | (F.btrim(F.regexp_replace("text", r"\s", "")) != ""))
+    filled = lambda t: [(a, b, k, t[a:b]) if t[a:b].strip(BLANK) else None for a, b, k in cut(t)]
+    return exploded(chunk, filled, "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col, carry, then)
 
 
 def check_tiling(span: DataFrame, chunk: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -330,7 +336,7 @@ def check_tiling(span: DataFrame, chunk: DataFrame, id_col: str = "chunk_id") ->
 def units(span: DataFrame, decided: Column | None = None, by: str = "doc_id") -> DataFrame:
     """Spans (doc_id, chunk_id, pos, kind, text) with `unit`: furniture and fragments go; a new unit begins at another
     chunk, a heading, title or table, where decided, and after a table's last row."""
-    kept = span.where(~F.coalesce(F.col("kind").isin(*FURNITURE), F.lit(False)) & (alnum(F.col("text")) >= 2))
+    kept = span.where(~F.coalesce(F.col("kind").isin(*FURNITURE), F.lit(False)) & F.col("text").rlike(TWO_ALNUM))
     w = Window.partitionBy(by).orderBy("pos")
     k = kept.withColumn("_start", F.coalesce(F.col("kind").isin(*STARTS), F.lit(False)) | F.coalesce(F.lag("chunk_id").over(w) != F.col("chunk_id"), F.lit(True)) | (decided if decided is not None else F.lit(False)))
     k = k.withColumn("_start", F.col("_start") | (F.coalesce(F.lag("kind").over(w) == "table_row", F.lit(False)) & (F.coalesce(F.col("kind"), F.lit("")) != "table_row")))
@@ -353,9 +359,9 @@ def unit_parts(kinds: list[str | None], texts: list[str], cap: int) -> list[str]
     return ["\n".join(([head] if head and i else []) + p) for i, p in enumerate(parts)]
 
 
-def capped_units(unit: DataFrame, cap: int = 6000, by: str = "doc_id") -> DataFrame:
+def capped_units(unit: DataFrame, cap: int = 6000, by: str = "doc_id", then: Sequence[Step] = ()) -> DataFrame:
     """doc_id, unit, part, text: a unit's spans in parts under the cap; a table's later parts repeat its header. A fold
-    over one unit's spans, which the chunk cap bounds."""
+    over one unit's spans, which the chunk cap bounds. Steps add their columns in the same worker."""
     kind = unit.schema[by].dataType.simpleString()
     whole = unit.groupBy(by, "unit").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("s")).select(by, "unit", F.col("s")["kind"].alias("kinds"), F.col("s")["text"].alias("texts"))
 
@@ -363,12 +369,13 @@ def capped_units(unit: DataFrame, cap: int = 6000, by: str = "doc_id") -> DataFr
         for b in batches:
             parts = [unit_parts(k.as_py(), t.as_py(), cap) for k, t in zip(b.column(2), b.column(3), strict=True)]
             of = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
-            yield pa.record_batch(
+            done = pa.record_batch(
                 [b.column(0).take(of), b.column(1).cast(pa.int64()).take(of), pa.array([i for p in parts for i in range(len(p))], pa.int32()), pa.array([t for p in parts for t in p], pa.string())],
                 names=[by, "unit", "part", "text"],
             )
+            yield reduce(lambda x, step: step[1](x), then, done)
 
-    return whole.mapInArrow(run, f"`{by}` {kind}, unit long, part int, text string")
+    return whole.mapInArrow(run, ", ".join([f"`{by}` {kind}, unit long, part int, text string", *(ddl for ddl, _ in then)]))
 
 
 def table_rows(tables: DataFrame) -> DataFrame:

@@ -452,9 +452,10 @@ def test_embedder_and_unless(spark):
                 v[h % size] += 1.0 if h >> 63 else -1.0
             norm = math.sqrt(sum(x * x for x in v))
             assert got == ([x / norm for x in v] if norm else v)
-    df = spark.createDataFrame([("a", None), (None, "failed"), ("b", None)], "text string, bad string")
-    out = hooks.over(df, lambda ts: [t.upper() for t in ts if t or 1 / 0], "string", unless="bad").collect()
-    assert sorted((str(r.out), str(r.error)) for r in out) == [("A", "None"), ("B", "None"), ("None", "None")]
+    df = spark.createDataFrame([(1, "a"), (2, "cut badly"), (3, ""), (4, "b")], "doc_id int, text string")
+    ask = hooks.step(lambda ts: [t.upper() for t in ts if t or 1 / 0], "string", "out", "out_error", unless="error")
+    out = segmenting.exploded(df, lambda t: [(t[::1 if len(t) < 2 else 0],), None], "text string", ["text"], then=[ask]).collect()
+    assert sorted((r.doc_id, str(r.out), str(r.error)[:10], str(r.out_error)[:4]) for r in out) == [(1, "A", "None", "None"), (2, "None", "ValueError", "None"), (3, "None", "None", "Zero"), (4, "B", "None", "None")]
 
 
 def test_compliance_flow(spark):
