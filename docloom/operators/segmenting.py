@@ -50,6 +50,7 @@ PROVISION_GAP = re.compile(rf"(?<![A-Za-z.])\.{{0,3}}(?i:{'|'.join(map(re.escape
 BREAKS = ((re.compile(r"(?s).*(\n\n)"), 0.5), (re.compile(r"(?s).*(\n)"), 0.0), (re.compile(r"(?s).*([ \t])"), 0.0))
 #: Two letters or digits, wherever they are.
 TWO_ALNUM = r"[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}]"
+TWO_ALNUM_HERE = re.compile(r"[^\W_][\W_]*[^\W_]")
 BLANK = " \t\n\x0b\x0c\r"
 PIPE_BLOCK = re.compile(r"(?m)^[ \t]*\|.*(?:\n[ \t]*\|.*)*")
 PIPE = re.compile(r"[ \t]*\|")
@@ -317,12 +318,12 @@ def placed_chunks(docs: DataFrame, cap: int = 24_000) -> DataFrame:
     return exploded(docs, f, "text string, chunk_start long", ["text", "chunk_start"])
 
 
-def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id", of: Callable[[str], list[tuple[int, int, str]]] | None = None, carry: Sequence[str] = (), then: Sequence[Step] = ()) -> DataFrame:
+def spans(chunk: DataFrame, least: int = 2, id_col: str = "chunk_id", of: Callable[[str], list[tuple[int, int, str]]] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """chunk_id, n, start, end, kind, text, error, by spans_of() or another segmenter, and the chunk's carried columns.
     Blank spans are dropped after numbering, so numbers may have gaps."""
     cut = of or (lambda t: spans_of(t, least))
     filled = lambda t: [(a, b, k, t[a:b]) if t[a:b].strip(BLANK) else None for a, b, k in cut(t)]
-    return exploded(chunk, filled, "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col, carry, then)
+    return exploded(chunk, filled, "start int, end int, kind string, text string", ["start", "end", "kind", "text"], id_col, carry)
 
 
 def check_tiling(span: DataFrame, chunk: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -359,9 +360,35 @@ def unit_parts(kinds: list[str | None], texts: list[str], cap: int) -> list[str]
     return ["\n".join(([head] if head and i else []) + p) for i, p in enumerate(parts)]
 
 
-def capped_units(unit: DataFrame, cap: int = 6000, by: str = "doc_id", then: Sequence[Step] = ()) -> DataFrame:
+def units_of(spans: list[tuple[int, int, str, str]], cap: int) -> list[tuple[int, int, str]]:
+    """unit, part, text of one chunk's spans: units() and capped_units() without a shuffle, since no unit leaves its chunk."""
+    found: list[list[tuple[str, str]]] = []
+    before = ""
+    for _, _, kind, text in spans:
+        if kind in FURNITURE or not TWO_ALNUM_HERE.search(text):
+            continue
+        if not found or kind in STARTS or before == "table_row" != kind:
+            found.append([])
+        found[-1].append((kind, text))
+        before = kind
+    return [(u, p, t) for u, x in enumerate(found) for p, t in enumerate(unit_parts(*map(list, zip(*x, strict=True)), cap))]
+
+
+def spans_and_parts(chunk: DataFrame, cap: int = 6000, least: int = 2, carry: Sequence[str] = (), then: Sequence[Step] = ()) -> DataFrame:
+    """chunk_id, n, start, end, kind, text of spans() and, as rows of their own with unit, part, text and no kind, the parts of
+    the chunk's units, which count from 0 in each chunk; one pass over the texts."""
+
+    def f(t: str) -> list[tuple | None]:
+        cut = [(a, b, k, t[a:b]) for a, b, k in spans_of(t, least)]
+        return [(*x, None, None) if x[3].strip(BLANK) else None for x in cut] + [(None, None, None, x, u, p) for u, p, x in units_of([x for x in cut if x[3].strip(BLANK)], cap)]
+
+    names = ["start", "end", "kind", "text", "unit", "part"]
+    return exploded(chunk, f, "start int, end int, kind string, text string, unit long, part int", names, "chunk_id", carry, then)
+
+
+def capped_units(unit: DataFrame, cap: int = 6000, by: str = "doc_id") -> DataFrame:
     """doc_id, unit, part, text: a unit's spans in parts under the cap; a table's later parts repeat its header. A fold
-    over one unit's spans, which the chunk cap bounds. Steps add their columns in the same worker."""
+    over one unit's spans, which the chunk cap bounds."""
     kind = unit.schema[by].dataType.simpleString()
     whole = unit.groupBy(by, "unit").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("s")).select(by, "unit", F.col("s")["kind"].alias("kinds"), F.col("s")["text"].alias("texts"))
 
@@ -369,13 +396,12 @@ def capped_units(unit: DataFrame, cap: int = 6000, by: str = "doc_id", then: Seq
         for b in batches:
             parts = [unit_parts(k.as_py(), t.as_py(), cap) for k, t in zip(b.column(2), b.column(3), strict=True)]
             of = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
-            done = pa.record_batch(
+            yield pa.record_batch(
                 [b.column(0).take(of), b.column(1).cast(pa.int64()).take(of), pa.array([i for p in parts for i in range(len(p))], pa.int32()), pa.array([t for p in parts for t in p], pa.string())],
                 names=[by, "unit", "part", "text"],
             )
-            yield reduce(lambda x, step: step[1](x), then, done)
 
-    return whole.mapInArrow(run, ", ".join([f"`{by}` {kind}, unit long, part int, text string", *(ddl for ddl, _ in then)]))
+    return whole.mapInArrow(run, f"`{by}` {kind}, unit long, part int, text string")
 
 
 def table_rows(tables: DataFrame) -> DataFrame:

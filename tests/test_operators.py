@@ -438,6 +438,18 @@ def test_ingestion_runs_each_stage_once(spark):
     assert "Other words stand here.\nThey end." in {r.text for r in got.units.where("doc_id = 'a_b'").collect()}
 
 
+def test_units_in_one_pass_are_those_of_the_windows(spark):
+    """spans_and_parts() gives the spans of spans() and the parts of units() and capped_units(), tables and fragments too."""
+    rows_ = "\n".join(f"| row {i} | some words here |" for i in range(9))
+    texts = [f"Scope\n\n-- ..\n\nOne sentence. Two of them.\n\n| head | b |\n|---|---|\n{rows_}\n\nAfter it. x\n\nEnd of Part\n\nThat is all.", "a\n\n   \n\nWord one. _ . Word two.", "", "?"]
+    chunk = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    both = segmenting.spans_and_parts(chunk, 60).drop("error")
+    want = segmenting.spans(chunk)
+    assert rows(both.where("unit is null").drop("unit", "part")) == rows(want.select("chunk_id", "n", "start", "end", "kind", "text"))
+    units = segmenting.capped_units(segmenting.units(want.withColumn("pos", F.col("n")), by="chunk_id"), 60, by="chunk_id")
+    assert rows(both.where("unit is not null"), "chunk_id", "unit", "part", "text") == rows(units) and units.where("part > 1").count()
+
+
 def test_embedder_and_unless(spark):
     """Vectors equal a plain sum by word; a hook isn't asked about rows that failed before."""
     import hashlib
@@ -453,7 +465,7 @@ def test_embedder_and_unless(spark):
             norm = math.sqrt(sum(x * x for x in v))
             assert got == ([x / norm for x in v] if norm else v)
     df = spark.createDataFrame([(1, "a"), (2, "cut badly"), (3, ""), (4, "b")], "doc_id int, text string")
-    ask = hooks.step(lambda ts: [t.upper() for t in ts if t or 1 / 0], "string", "out", "out_error", unless="error")
+    ask = hooks.step(lambda ts: [t.upper() for t in ts if t or 1 / 0], "string", "out", "out_error", unless=["error"])
     out = segmenting.exploded(df, lambda t: [(t[::1 if len(t) < 2 else 0],), None], "text string", ["text"], then=[ask]).collect()
     assert sorted((r.doc_id, str(r.out), str(r.error)[:10], str(r.out_error)[:4]) for r in out) == [(1, "A", "None", "None"), (2, "None", "ValueError", "None"), (3, "None", "None", "Zero"), (4, "B", "None", "None")]
 
