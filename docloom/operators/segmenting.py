@@ -192,7 +192,8 @@ def spans_of(text: str, least: int = 2) -> list[tuple[int, int, str]]:
     if not text:
         return []
     at, kinds = zip(*(list(marks(text)) or [(0, "other")]), strict=True)
-    heavy = [k == "table_row" or sum(map(str.isalnum, text[a:b])) >= least for a, b, k in zip(at, (*at[1:], len(text)), kinds, strict=True)]
+    enough = re.compile(rf"(?:[\W_]*[^\W_]){{{least}}}").match  # that many letters and digits
+    heavy = [k == "table_row" or bool(enough(text, a, b)) for a, b, k in zip(at, (*at[1:], len(text)), kinds, strict=True)]
     last = max((i for i, h in enumerate(heavy) if h), default=-1)
     first = 0 if heavy[0] else 1
     begins = [i for i in range(first + 1, len(at)) if heavy[i] and kinds[i - 1] not in HEADS and not (i == last and kinds[i] in HEADS)]
@@ -380,7 +381,7 @@ def spans_and_parts(chunk: DataFrame, cap: int = 6000, least: int = 2, carry: Se
 
     def f(t: str) -> list[tuple | None]:
         cut = [(a, b, k, t[a:b]) for a, b, k in spans_of(t, least)]
-        return [(*x, None, None) if x[3].strip(BLANK) else None for x in cut] + [(None, None, None, x, u, p) for u, p, x in units_of([x for x in cut if x[3].strip(BLANK)], cap)]
+        return [(*x, None, None) if x[3].strip(BLANK) else None for x in cut] + [(None, None, None, x, u, p) for u, p, x in units_of(cut, cap)]
 
     names = ["start", "end", "kind", "text", "unit", "part"]
     return exploded(chunk, f, "start int, end int, kind string, text string, unit long, part int", names, "chunk_id", carry, then)
