@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import ids, places, text, vectors
-from docloom.operators import answers, clauses, compliance, evals, resolution, retrieval, segmenting, store
+from docloom.operators import answers, clauses, compliance, evals, graph, resolution, retrieval, segmenting, store
 from docloom.operators.filters import NOT_NULL, Contains, Range, order_columns, predicate
 from docloom.plans import flows, hooks
 from docloom.sources import connectors
@@ -470,6 +470,31 @@ def test_embedder_and_unless(spark):
     assert sorted((r.doc_id, str(r.out), str(r.error)[:10], str(r.out_error)[:4]) for r in out) == [(1, "A", "None", "None"), (2, "None", "ValueError", "None"), (3, "None", "None", "Zero"), (4, "B", "None", "None")]
 
 
+def test_two_hop_gold_meets_by_classes(spark):
+    """All pairs by hand, with copies, nulls and repeated rows."""
+    import random
+
+    r = random.Random(2)
+    base = [(i, r.randrange(12)) for i in range(25) for _ in range(r.choice([1, 2, 3]))]
+    m = base + base[:5] + [(i + 100, d) for i, d in base if i % 3 == 0] + [(None, 1), (7, None)]
+    links = spark.createDataFrame(m, "entity long, document int")
+    anchors = spark.createDataFrame([(i,) for i in range(0, 120, 2)] + [(2,)], "entity long")
+    at: dict = {}
+    for e, d in m:
+        if e is not None and d is not None:
+            at.setdefault(e, set()).add(d)
+    near = {a: {b for b in at if b != a and at[a] & at[b]} for a in at}
+    want = [(a, c, min(b for b in near[a] if c in near[b])) for a in at if a % 2 == 0 and a < 120 for c in at if c != a and c not in near[a] and any(c in near[b] for b in near[a])]
+    got = graph.two_hop_gold(links, anchors)
+    assert rows(got, "anchor", "answer", "bridge") == sorted(want, key=str) and want
+
+def test_two_hop_gold_of_many_copies(spark):
+    """30,000 entities of one document, which made 900 million pairs."""
+    m = spark.range(30_000).selectExpr("id AS entity", "0 AS document").union(spark.createDataFrame([(50_000, 0), (50_000, 1), (50_001, 1)], "entity long, document int"))
+    got = graph.two_hop_gold(m, spark.createDataFrame([(50_001,)], "entity long")).agg(F.count("*"), F.min("bridge"), F.max("bridge"), F.max("answer")).first()
+    assert tuple(got) == (30_000, 50_000, 50_000, 29_999)
+
+
 def test_compliance_flow(spark):
     one_scope = F.create_map(F.lit("p"), F.array(F.lit("x")))
     facts = spark.createDataFrame([("f1", "d", "ad", "we promise gains"), ("f2", "d", "ad", "fine print")], "fact_id string, document string, claim_type string, text string").withColumn("fact_scope", one_scope)
