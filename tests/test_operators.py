@@ -495,6 +495,30 @@ def test_two_hop_gold_of_many_copies(spark):
     assert tuple(got) == (30_000, 50_000, 50_000, 29_999)
 
 
+def test_two_hop_gold_shuffles_no_pairs(spark):
+    """Names as keys; nearly all pairs are in the result, but what is shuffled are memberships."""
+    import random
+
+    r = random.Random(3)
+    at = {f"n{i}": {f"d{r.randrange(60)}" for _ in range(3)} for i in range(1_000)} | {"n\u00e9": {"d1"}, "copy of n\u00e9": {"d1"}}
+    links = spark.createDataFrame([(e, d) for e, ds in at.items() for d in ds], "entity string, document string")
+    anchors = spark.createDataFrame([(e,) for e in at if e not in ("n7", "copy of n\u00e9")], "entity string")
+    near = {a: {b for b in at if at[a] & at[b]} for a in at}
+    first = {a: {} for a in at}
+    for a in at:
+        for b in sorted(near[a]):
+            for c in near[b] - near[a]:
+                first[a].setdefault(c, b)
+    want = {(a, c, b) for a in at if a not in ("n7", "copy of n\u00e9") for c, b in first[a].items()}
+
+    store, nothing = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: (x := store.stageList(None, False, False, nothing, None), [x.apply(i) for i in range(x.size())])[1]
+    last = max((x.stageId() for x in stages()), default=-1)
+    got = [tuple(x) for x in graph.two_hop_gold(links, anchors).collect()]
+    assert len(got) == len(want) > 800_000 and set(got) == want
+    assert 0 < sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > last) < 200_000
+
+
 def test_compliance_flow(spark):
     one_scope = F.create_map(F.lit("p"), F.array(F.lit("x")))
     facts = spark.createDataFrame([("f1", "d", "ad", "we promise gains"), ("f2", "d", "ad", "fine print")], "fact_id string, document string, claim_type string, text string").withColumn("fact_scope", one_scope)
